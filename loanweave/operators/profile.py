@@ -65,18 +65,9 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def summary_quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minimum, quartiles, mean and maximum of each column."""
-    long = _melt(df, columns)
-    quartiles = exact_quantiles(long, "value", ["feature"], [0.25, 0.5, 0.75])
-    moments = describe_numeric(df, columns).select("feature", "min", "mean", "max")
-    return quartiles.join(moments, "feature").select(
-        "feature",
-        "min",
-        F.get("q", F.lit(0)).alias("q1"),
-        F.get("q", F.lit(1)).alias("median"),
-        "mean",
-        F.get("q", F.lit(2)).alias("q3"),
-        "max",
-    )
+    quartiles = exact_quantiles(_melt(df, columns), "value", ["feature"], [0.25, 0.5, 0.75])
+    q1, median, q3 = (F.get("q", F.lit(i)) for i in range(3))
+    return quartiles.select("feature", "min", q1.alias("q1"), median.alias("median"), "mean", q3.alias("q3"), "max")
 
 
 def counts(df: DataFrame, keys: Sequence[str], share: bool = False) -> DataFrame:

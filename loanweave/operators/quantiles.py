@@ -3,7 +3,7 @@
 ``percentile`` keeps every distinct value of a group in one aggregation buffer, which fails on a continuous column of a
 large group. Here a first pass builds mergeable sketches of bounded size (``percentile_approx``), whose known rank
 error gives an interval around each wanted rank. A second pass keeps single values only inside those intervals and
-folds each stretch between them to one row (count, smallest, largest), already on the map side. A running count
+folds each stretch between them to one row (count, smallest, largest, total), already on the map side. A running count
 over what is left then finds the exact ranks.
 """
 
@@ -24,17 +24,16 @@ def _edges(probs: Sequence[float], accuracy: int) -> list[float]:
     return [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
 
 
-def _attach_sketch(rows: DataFrame, by: list[str], sketch: DataFrame, few_groups: bool) -> DataFrame:
-    """Add the group's sketch to each row."""
+def _attach_edges(rows: DataFrame, by: list[str], sketch: DataFrame, few_groups: bool) -> DataFrame:
+    """Add the interval bounds of its group to each row."""
     if not few_groups:
         # AQE splits an oversized group of the left side; the right side has one row per group.
         return rows.join(sketch, by)
-    entries = F.collect_list(F.struct(F.struct(*by), F.struct("n", "edges")))
+    entries = F.collect_list(F.struct(F.struct(*by), F.col("edges")))
     checked = F.when(F.count("*") <= MAX_GROUPS, F.map_from_entries(entries)).otherwise(
         F.raise_error(F.lit(f"more than {MAX_GROUPS} groups: pass few_groups=False"))
     )
-    found = F.element_at(sketch.agg(checked.alias("sketches")).scalar(), F.struct(*by))
-    return rows.withColumn("sk", found).select("*", "sk.n", "sk.edges").drop("sk")
+    return rows.withColumn("edges", F.element_at(sketch.agg(checked.alias("sketches")).scalar(), F.struct(*by)))
 
 
 def exact_quantiles(
@@ -46,30 +45,32 @@ def exact_quantiles(
     accuracy: int = ACCURACY,
     few_groups: bool = True,
 ) -> DataFrame:
-    """One row per group: the ``by`` columns, ``n`` non-missing values and ``q``, the quantiles in the order of ``probs``.
+    """One row per group: the ``by`` columns, ``n`` non-missing values, their ``min``, ``mean`` and ``max``, and ``q``,
+    the quantiles in the order of ``probs``.
 
     ``interpolate`` chooses between the linearly interpolated quantile and the smallest observed value whose
     cumulative share reaches the probability. ``few_groups`` promises at most ``MAX_GROUPS`` groups (checked at run
-    time); otherwise the sketches are joined to the rows instead of sent to every task.
+    time); otherwise the interval bounds are joined to the rows instead of sent to every task.
     """
     by, k = list(by), len(probs)
     v, edge = F.col("v"), lambda i: F.get("edges", F.lit(i))
     rows = df.select(*by, F.col(value).cast("double").alias("v")).filter(v.isNotNull() & ~F.isnan("v"))
-    sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.percentile_approx("v", _edges(probs, accuracy), accuracy).alias("edges")
-    )
+    sketch = rows.groupBy(*by).agg(F.percentile_approx("v", _edges(probs, accuracy), accuracy).alias("edges"))
 
     inside = reduce(lambda a, b: a | b, [v.between(edge(2 * i), edge(2 * i + 1)) for i in range(k)])
     stretch = reduce(lambda a, b: a + b, [(v > edge(i)).cast("int") for i in range(2 * k)])
     folded = (
-        _attach_sketch(rows, by, sketch, few_groups)
-        .select(*by, "n", "v", F.when(inside, v).alias("single"), F.when(~inside, stretch).alias("stretch"))
-        .groupBy(*by, "n", "single", "stretch")
-        .agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        _attach_edges(rows, by, sketch, few_groups)
+        .select(*by, "v", F.when(inside, v).alias("single"), F.when(~inside, stretch).alias("stretch"))
+        .groupBy(*by, "single", "stretch")
+        .agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"))
     )
 
-    running = Window.partitionBy(*by, "n").orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = folded.withColumn("end", F.sum("m").over(running)).withColumn("start", F.col("end") - F.col("m"))
+    group = Window.partitionBy(*by)
+    running = group.orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = folded.withColumns({"end": F.sum("m").over(running), "n": F.sum("m").over(group)}).withColumn(
+        "start", F.col("end") - F.col("m")
+    )
 
     def at(rank: Column) -> Column:
         """Value at a 0-based rank of the group."""
@@ -89,4 +90,9 @@ def exact_quantiles(
         lower, upper = at(F.floor(position)), at(F.ceil(position))
         return lower + (upper - lower) * (position - F.floor(position))
 
-    return ranked.groupBy(*by, "n").agg(F.array(*[quantile(p) for p in probs]).alias("q"))
+    return ranked.groupBy(*by, "n").agg(
+        F.min("low").alias("min"),
+        (F.sum("total") / F.col("n")).alias("mean"),
+        F.max("high").alias("max"),
+        F.array(*[quantile(p) for p in probs]).alias("q"),
+    )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import BUCKETS, HASH_BITS, key_bucket, key_digest, key_hash
+from ..functions.hashing import BUCKETS, HASH_DIGITS, key_bucket, key_digest, key_hash
 from ..schema import KEY
 
 TRAIN_SHARE = 0.8
@@ -23,11 +23,11 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = KEY) -> DataFrame
     about 4n + 100 rows pass, comes first; should fewer than n pass, the condition lets all rows through.
     """
     digest = key_digest(F.col(key), seed)
-    prefix = F.substring(digest, 1, HASH_BITS // 4)
+    prefix = key_hash(F.col(key), seed)
     total = df.agg(F.count("*").alias("total"))
     share = F.least(F.lit(4.0 * n + 100) / F.greatest(F.col("total"), F.lit(1)), F.lit(1.0))
-    top = (share * F.lit(float(2**HASH_BITS - 1))).cast("bigint")
-    cut = total.select(F.lpad(F.lower(F.hex(top)), HASH_BITS // 4, "0").alias("cut")).scalar()
+    top = (share * F.lit(float(16**HASH_DIGITS - 1))).cast("bigint")
+    cut = total.select(F.lpad(F.lower(F.hex(top)), HASH_DIGITS, "0").alias("cut")).scalar()
     enough = df.filter(prefix <= cut).agg((F.count("*") >= n).alias("enough")).scalar()
     candidates = df.filter((prefix <= cut) | ~enough)
     return candidates.orderBy(digest, key).limit(n)
@@ -60,35 +60,36 @@ def with_stratified_split(
     """Append ``is_train``: exactly ``ceil(train * size)`` rows of each stratum, those with the smallest key hash.
 
     A stratum is never sorted. Its rows are counted per hash range, which is even because the hash is; a running count
-    over the ranges finds the one where the quota is met, and only the rows of that range (1 in 2**20) are ranked.
+    over the ranges finds the one where the quota is met, and only that range (1 in 65,536) is ranked, one entry per
+    key. Rows that share a key stay together.
     """
-    range_bits = 20
-    width = F.lit(1 << (HASH_BITS - range_bits))
     rows = df.select(F.col(strata).alias("s"), F.col(key).alias("k")).withColumn("h", key_hash(F.col("k"), seed))
-    per_range = (
-        rows.withColumn("r", F.floor(F.col("h") / width)).groupBy("s", "r").agg(F.count("*").alias("n"))
-    )
-    whole = Window.partitionBy("s")
-    running = whole.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = (
-        per_range.withColumn("end", F.sum("n").over(running))
-        .withColumn("quota", F.ceil(F.lit(train) * F.sum("n").over(whole)))
-        .filter((F.col("end") >= F.col("quota")) & (F.col("end") - F.col("n") < F.col("quota")))
-        .select("s", "r", (F.col("quota") - F.col("end") + F.col("n")).alias("take"))
-    )
-
-    def by_stratum(table: DataFrame, *fields: str):
+    hash_range = F.substring("h", 1, 4)
+    stratum = Window.partitionBy("s")
+
+    def where_met(tally: DataFrame, quota: Column, *order: str) -> DataFrame:
+        """The row of each stratum whose running count reaches the quota, with what is ``missing`` before it."""
+        running = stratum.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counted = tally.withColumns({"end": F.sum("n").over(running), "quota": quota})
+        before = F.col("end") - F.col("n")
+        met = counted.filter((F.col("end") >= F.col("quota")) & (before < F.col("quota")))
+        return met.withColumn("missing", F.col("quota") - before)
+
+    def by_stratum(table: DataFrame, *fields: str) -> Column:
         entries = F.map_from_entries(F.collect_list(F.struct(F.struct("s"), F.struct(*fields))))
         error = F.raise_error(F.lit(f"more than {max_strata} strata"))
         return table.agg(F.when(F.count("*") <= max_strata, entries).otherwise(error).alias("m")).scalar()
 
-    ranked = (
-        rows.withColumn("cut", F.element_at(by_stratum(met, "r", "take"), F.struct("s")))
-        .filter(F.floor(F.col("h") / width) == F.col("cut.r"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("s").orderBy("h", "k")))
-        .filter(F.col("rank") == F.col("cut.take"))
+    per_range = rows.withColumn("r", hash_range).groupBy("s", "r").agg(F.count("*").alias("n"))
+    cut_range = where_met(per_range, F.ceil(F.lit(train) * F.sum("n").over(stratum)), "r")
+    per_key = (
+        rows.withColumn("cut", F.element_at(by_stratum(cut_range, "r", "missing"), F.struct("s")))
+        .filter(hash_range == F.col("cut.r"))
+        .groupBy("s", "h", "k", F.col("cut.missing").alias("take"))
+        .agg(F.count("*").alias("n"))
     )
-    last = F.element_at(by_stratum(ranked, "h", "k"), F.struct(F.col(strata).alias("s")))
+    cut_key = where_met(per_key, F.col("take"), "h", "k")
+    last = F.element_at(by_stratum(cut_key, "h", "k"), F.struct(F.col(strata).alias("s")))
     mark = F.struct(key_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     return df.withColumn("is_train", F.coalesce(mark <= last, F.lit(False)))
 

@@ -111,8 +111,10 @@ def validate(df: DataFrame, labels: Mapping[str, Sequence[str]], key: str | None
         for c in CATEGORICAL
         if labels.get(c)
     ]
+    # Empty items are dropped after the explode, which compiles; array_compact would be interpreted row by row.
     tally = (
-        df.select(F.explode(F.array_compact(F.array(*items))).alias("item"))
+        df.select(F.explode(F.array(*items)).alias("item"))
+        .filter(F.col("item").isNotNull())
         .groupBy("item.kind", "item.column_name", "item.value")
         .agg(F.count("*").alias("n"))
     )

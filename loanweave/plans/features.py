@@ -47,6 +47,7 @@ class ForestParams:
     max_depth: int = 5
     impurity: str = "gini"
     seed: int = SEED
+    max_memory_mb: int = 256  # for one pass's split statistics; more of it means fewer passes for deep forests
 
 
 # The tuned model.
@@ -90,6 +91,7 @@ def forest(params: ForestParams = ForestParams()) -> RandomForestClassifier:
         maxDepth=params.max_depth,
         impurity=params.impurity,
         seed=params.seed,
+        maxMemoryInMB=params.max_memory_mb,
     )
 
 
