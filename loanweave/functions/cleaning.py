@@ -31,7 +31,7 @@ def nan_to_null(value: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.when(F.trim(text) != "", text)
 
 
 def token_to_null(text: Column, tokens: tuple[str, ...] = MISSING_TOKENS) -> Column:

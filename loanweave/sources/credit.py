@@ -15,55 +15,49 @@ from ..schema import COLUMNS, KEY, LABEL
 
 _FROM_LINES = {"loan_int_rate", LABEL}
 
+# The columns read from each table. A declared schema spares the footer-reading job per query.
+_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string",
+    "customer": "c_custkey bigint, c_acctbal double, c_mktsegment string",
+    "lineitem": "l_orderkey bigint, l_discount double, l_tax double",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _rates(lines: DataFrame) -> DataFrame:
-    """Interest rate per order, from whole cents so that no summation order can change it."""
-    # floor(x + 0.5) stays in primitive doubles; round() would go through a BigDecimal per value.
-    cents = lambda c: F.floor(F.col(c) * 100 + 0.5)
-    return (
-        lines.groupBy("l_orderkey")
-        .agg(F.sum(cents("l_discount")).alias("sd"), F.sum(cents("l_tax")).alias("stx"), F.count("*").alias("n"))
-        .select(
-            F.col("l_orderkey").alias(KEY),
-            (
-                (500 + F.floor((120 * F.col("sd") + 40 * F.col("stx")).cast("double") / F.col("n").cast("double")))
-                / F.lit(100.0)
-            ).alias("loan_int_rate"),
-        )
+    """Interest rate per order, from whole cents so that no summation order can change it.
+
+    ``floor(x + 0.5)`` stays in primitive doubles, where ``round`` would build a BigDecimal per value.
+    """
+    cents = lines.groupBy(F.col("l_orderkey").alias(KEY)).agg(
+        F.expr("sum(floor(l_discount * 100 + 0.5D))").alias("sd"),
+        F.expr("sum(floor(l_tax * 100 + 0.5D))").alias("stx"),
+        F.count("*").alias("n"),
     )
+    rate = "(500 + floor(cast(120 * sd + 40 * stx as double) / cast(n as double))) / 100D AS loan_int_rate"
+    return cents.selectExpr(KEY, rate)
 
 
 def _base(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    order, cust, priority = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
-    segment = F.col("c_mktsegment")
-    return orders.join(customers, cust == F.col("c_custkey")).select(
-        order.alias(KEY),
-        F.when(cust % 97 == 5, 123).otherwise((20 + (cust * 7) % 50).cast("int")).alias("person_age"),
-        F.floor(15000 + (F.col("c_acctbal") + 1000) * 8).cast("double").alias("person_income"),
-        F.when(segment.isin("MACHINERY", "FURNITURE"), "RENT")
-        .when(segment == "BUILDING", "MORTGAGE")
-        .when(segment == "AUTOMOBILE", "OWN")
-        .otherwise("OTHER")
-        .alias("person_home_ownership"),
-        F.when(order % 37 == 3, None)
-        .when(order % 101 == 7, 123.0)
-        .otherwise(((cust * 13) % 41).cast("double"))
-        .alias("person_emp_length"),
-        F.when(order % 16 == 0, "HOMEIMPROVEMENT")
-        .when(priority == "1-URGENT", "MEDICAL")
-        .when(priority == "2-HIGH", "DEBTCONSOLIDATION")
-        .when(priority == "3-MEDIUM", "EDUCATION")
-        .when(priority == "4-NOT SPECIFIED", "PERSONAL")
-        .otherwise("VENTURE")
-        .alias("loan_intent"),
-        F.floor(F.col("o_totalprice") / 15).cast("double").alias("loan_amnt"),
-        F.when(cust % 6 == 0, "Y").otherwise("N").alias("cb_person_default_on_file"),
-        (2 + (cust * 11) % 29).cast("int").alias("cb_person_cred_hist_length"),
-        F.col("o_orderstatus").alias("st"),
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
+        f"o_orderkey AS {KEY}",
+        "CASE WHEN o_custkey % 97 = 5 THEN 123 ELSE CAST(20 + (o_custkey * 7) % 50 AS INT) END AS person_age",
+        "CAST(floor(15000 + (c_acctbal + 1000) * 8) AS DOUBLE) AS person_income",
+        """CASE c_mktsegment WHEN 'MACHINERY' THEN 'RENT' WHEN 'FURNITURE' THEN 'RENT' WHEN 'BUILDING' THEN 'MORTGAGE'
+           WHEN 'AUTOMOBILE' THEN 'OWN' ELSE 'OTHER' END AS person_home_ownership""",
+        """CASE WHEN o_orderkey % 37 = 3 THEN NULL WHEN o_orderkey % 101 = 7 THEN 123D
+           ELSE CAST((o_custkey * 13) % 41 AS DOUBLE) END AS person_emp_length""",
+        """CASE WHEN o_orderkey % 16 = 0 THEN 'HOMEIMPROVEMENT' WHEN o_orderpriority = '1-URGENT' THEN 'MEDICAL'
+           WHEN o_orderpriority = '2-HIGH' THEN 'DEBTCONSOLIDATION' WHEN o_orderpriority = '3-MEDIUM' THEN 'EDUCATION'
+           WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'PERSONAL' ELSE 'VENTURE' END AS loan_intent""",
+        "CAST(floor(o_totalprice / 15) AS DOUBLE) AS loan_amnt",
+        "CASE WHEN o_custkey % 6 = 0 THEN 'Y' ELSE 'N' END AS cb_person_default_on_file",
+        "CAST(2 + (o_custkey * 11) % 29 AS INT) AS cb_person_cred_hist_length",
+        "o_orderstatus AS st",
     )
 
 
@@ -73,17 +67,12 @@ def credit(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = Non
     if unknown := wanted - set(COLUMNS):
         raise ValueError(f"unknown columns: {sorted(unknown)}")
     rows = _base(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
-    amount, income = F.col("loan_amnt"), F.col("person_income")
-    derived = {"loan_percent_income": F.floor(amount * 100 / income) / F.lit(100.0)}
+    derived = {"loan_percent_income": "floor(loan_amnt * 100 / person_income) / 100D AS loan_percent_income"}
     if wanted & _FROM_LINES:
         rows = rows.join(_rates(table(spark, sf_dir, "lineitem")), KEY, "left")
-        derived[LABEL] = (
-            F.when(F.col(KEY) % 23 == 0, 1)
-            .when((amount / income > 0.5) & (F.col("st") != "O"), 1)
-            .when((F.col("person_home_ownership") == "RENT") & (F.col("loan_int_rate") > 14), 1)
-            .otherwise(0)
-        )
-    return rows.select(*[derived.get(c, F.col(c)).alias(c) for c in COLUMNS if c in wanted])
+        derived[LABEL] = f"""CASE WHEN {KEY} % 23 = 0 THEN 1 WHEN loan_amnt / person_income > 0.5D AND st <> 'O' THEN 1
+            WHEN person_home_ownership = 'RENT' AND loan_int_rate > 14 THEN 1 ELSE 0 END AS {LABEL}"""
+    return rows.selectExpr(*[derived.get(c, c) for c in COLUMNS if c in wanted])
 
 
 def credit_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
