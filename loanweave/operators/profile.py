@@ -11,7 +11,7 @@ from ..schema import LABEL
 from .quantiles import exact_quantiles
 
 
-def _melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), as_type: str = "double") -> DataFrame:
+def melt(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), as_type: str = "double") -> DataFrame:
     """(kept columns, feature, value): one row per input row and column."""
     return df.select(*keep, *[F.col(c).cast(as_type).alias(c) for c in columns]).unpivot(
         list(keep), list(columns), "feature", "value"
@@ -65,7 +65,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def summary_quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minimum, quartiles, mean and maximum of each column."""
-    quartiles = exact_quantiles(_melt(df, columns), "value", ["feature"], [0.25, 0.5, 0.75])
+    quartiles = exact_quantiles(melt(df, columns), "value", ["feature"], [0.25, 0.5, 0.75])
     q1, median, q3 = (F.get("q", F.lit(i)) for i in range(3))
     return quartiles.select("feature", "min", q1.alias("q1"), median.alias("median"), "mean", q3.alias("q3"), "max")
 
@@ -78,7 +78,7 @@ def counts(df: DataFrame, keys: Sequence[str], share: bool = False) -> DataFrame
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per level of each categorical column."""
-    return counts(_melt(df, columns, as_type="string").withColumnRenamed("value", "level"), ["feature", "level"])
+    return counts(melt(df, columns, as_type="string").withColumnRenamed("value", "level"), ["feature", "level"])
 
 
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -119,7 +119,7 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: str = LABEL) -> DataFra
 
     ``by`` must take few values (a label); the quantile step checks that.
     """
-    long = _melt(df, columns, keep=[by]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    long = melt(df, columns, keep=[by]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     quartiles = exact_quantiles(long, "value", [by, "feature"], [0.25, 0.5, 0.75])
     q1, median, q3 = (F.get("q", F.lit(i)) for i in range(3))
     fence = 1.5 * (q3 - q1)

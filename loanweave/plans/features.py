@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,6 +10,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (
     Imputer,
     OneHotEncoder,
+    SQLTransformer,
     StandardScaler,
     StringIndexer,
     StringIndexerModel,
@@ -16,6 +18,8 @@ from pyspark.ml.feature import (
 )
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.profile import melt
+from ..operators.quantiles import exact_quantiles
 from ..operators.validation import label_frame
 from ..schema import CATEGORICAL, IMPUTED, LABEL
 
@@ -54,19 +58,38 @@ class ForestParams:
 TUNED = ForestParams(num_trees=100, max_depth=10, impurity="entropy")
 
 
-def feature_stages(relative_error: float = 0.001) -> list:
+def exact_medians(df: DataFrame) -> dict[str, float]:
+    """The middle observed value of each imputed column, exact at any size."""
+    rows = exact_quantiles(melt(df, IMPUTED), "value", ["feature"], [0.5], interpolate=False).collect()
+    medians = {r["feature"]: r["q"][0] for r in rows}
+    if empty := set(IMPUTED) - set(medians):
+        raise ValueError(f"no value to impute from in {sorted(empty)}")
+    return medians
+
+
+def median_filler(medians: Mapping[str, float]) -> SQLTransformer:
+    """A stage that fills given medians in; saved and loaded like any other."""
+    filled = [f"coalesce(nanvl({c}, NULL), {medians[c]!r}D) AS {IMPUTED_NAMES[c]}" for c in IMPUTED]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
+def feature_stages(relative_error: float = 0.001, medians: Mapping[str, float] | None = None) -> list:
     """Median imputation, label indexing, one-hot encoding, assembly and scaling.
 
-    One indexer covers all categories, so that they are counted in a single pass over the data.
-    ``relative_error`` bounds the rank error of the medians; below 1 / rows they are exact.
+    The medians are sketched with a rank error of at most ``relative_error``, unless given. One indexer covers all
+    categories, so that they are counted in a single pass over the data.
     """
-    return [
-        Imputer(
+    if medians is None:
+        imputation = Imputer(
             strategy="median",
             inputCols=list(IMPUTED),
             outputCols=[IMPUTED_NAMES[c] for c in IMPUTED],
             relativeError=relative_error,
-        ),
+        )
+    else:
+        imputation = median_filler(medians)
+    return [
+        imputation,
         StringIndexer(
             inputCols=list(CATEGORICAL),
             outputCols=[INDEXED_NAMES[c] for c in CATEGORICAL],
@@ -113,6 +136,11 @@ def label_table(model: PipelineModel, spark: SparkSession) -> DataFrame:
     return label_frame(spark, label_dictionary(model))
 
 
+def model_text(model: PipelineModel) -> str:
+    """The fitted trees (or tree) as text."""
+    return model.stages[-1].toDebugString
+
+
 def model_params(model: PipelineModel, spark: SparkSession) -> DataFrame:
     """Every parameter of every fitted stage: (stage, kind, param, value)."""
     rows = [

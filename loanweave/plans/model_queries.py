@@ -24,6 +24,7 @@ from .features import (
     ENCODED_NAMES,
     IMPUTED_NAMES,
     INDEXED_NAMES,
+    exact_medians,
     feature_stages,
     label_dictionary,
     label_table,
@@ -33,9 +34,6 @@ from .scoring import score, score_summary
 from .training import coefficients, fit_linear, fit_tree, load, persisted, predict_tree, save, train
 from .tuning import grid, tune
 
-# Medians exact up to a million rows, where the oracle is compared; the sketch stays bounded beyond.
-EXACT_MEDIAN = 1e-6
-
 _FITTED: dict[tuple, PipelineModel] = {}
 
 
@@ -48,11 +46,11 @@ def fitted(spark: SparkSession, sf_dir: str, what: str, fit: Callable[[], Pipeli
 
 
 def feature_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
-    """The feature stages fitted on the whole table."""
+    """The feature stages fitted on the whole table, with exact medians."""
 
     def fit():
         with persisted(credit(spark, sf_dir, [KEY, *CONTRACT])) as rows:
-            return Pipeline(stages=feature_stages(EXACT_MEDIAN)).fit(rows)
+            return Pipeline(stages=feature_stages(medians=exact_medians(rows))).fit(rows)
 
     return fitted(spark, sf_dir, "features", fit)
 
@@ -161,7 +159,8 @@ def scale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     over_credit(
         f",\n{_INDEX_CTES}\n"
         + " UNION ALL ".join(f"SELECT '{c}' AS column_name, i AS idx, v AS label FROM ix_{c}" for c in CATEGORICAL)
-    )
+    ),
+    name="label_dictionary",
 )
 def label_dictionary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_table(feature_model(spark, sf_dir), spark)

@@ -194,7 +194,8 @@ _MEASURED = (*NUMERIC, LABEL)
             f"CAST(MAX({c}) AS DOUBLE) AS max FROM credit"
             for c in _MEASURED
         )
-    )
+    ),
+    name="describe_numeric",
 )
 def describe_numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(describe_numeric(credit(spark, sf_dir, _MEASURED), _MEASURED), "mean", "sd")
@@ -424,7 +425,8 @@ def rule_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     over_credit(
         """SELECT application_id, loan_percent_income AS score, CAST(loan_percent_income > 0.5 AS INT) AS prediction,
   loan_status FROM credit"""
-    )
+    ),
+    name="join_truth",
 )
 def truth_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_with_truth(spark, sf_dir)
@@ -506,7 +508,8 @@ f AS (SELECT CAST(FLOOR({BUCKET_SQL} * 5 / 800) AS INT) AS fold, COUNT(*) AS n_v
       FROM credit WHERE {BUCKET_SQL} < 800 GROUP BY 1)
 SELECT point, num_trees, max_depth, impurity, fold, CAST((SELECT SUM(n_valid) FROM f) AS BIGINT) - n_valid AS n_train, n_valid
 FROM g, f"""
-    )
+    ),
+    name="param_grid",
 )
 def cv_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_plan(credit(spark, sf_dir, [KEY]).filter(is_train()), grid(), folds=5)

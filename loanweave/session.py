@@ -31,7 +31,7 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     The cluster names its shared folder in ``spark.checkpoint.dir``. A machine-local temporary folder is used only
     where that is unset and the whole session lives on one machine.
     """
-    shared = spark.conf.get(CHECKPOINT_CONF, None)
+    shared = spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     name = f"loanweave-{purpose}-{uuid.uuid4().hex}"
     if shared:
         return f"{shared.rstrip('/')}/{name}"
