@@ -19,9 +19,14 @@ def read_stream(
     fmt: str = "parquet",
     max_files_per_trigger: int = 1000,
 ) -> DataFrame:
-    """Applications from a landing folder; the trigger limit keeps a backlog from becoming one batch."""
+    """Applications from a landing folder; the trigger limit keeps a backlog from becoming one batch.
+
+    A CSV file whose header differs from the schema stops the stream instead of being read into the wrong columns.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    return (reader.option("header", True) if fmt == "csv" else reader).format(fmt).load(path)
+    if fmt == "csv":
+        reader = reader.option("header", True).option("enforceSchema", False)
+    return reader.format(fmt).load(path)
 
 
 def score_stream(

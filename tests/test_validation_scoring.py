@@ -120,6 +120,19 @@ def test_one_applicant(applicant, model):
     assert row["risk_level"] in ("low", "moderate", "high")
 
 
+def test_the_loan_ratio_is_not_needed(applicant, model):
+    with_ratio, without = score_applicants(model, applicant), score_applicants(model, applicant.drop("loan_percent_income"))
+    assert with_ratio.first() == without.first()
+
+
+def test_csv_stream(spark, model, loans, tmp_path):
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    loans.write.option("header", True).csv(landing)
+    for query in score_stream(model, read_stream(spark, landing, fmt="csv"), out, str(tmp_path / "checkpoint")):
+        query.awaitTermination()
+    assert spark.read.parquet(f"{out}/scored").count() == loans.count()
+
+
 def test_summary_of_nothing(model, loans):
     scored, _ = score(model, loans.limit(0))
     assert tuple(score_summary(scored).first()) == (0, 0, 0.0)
