@@ -7,8 +7,8 @@ pairs of each (*prefix*), so only those are joined; frequent pairs, such as thos
 share, are *skipped* while merging and only compared when a candidate is counted. A class with fewer than ``MATCHES``
 pairs known to others has no candidate at all. Candidates are confirmed on the full shingle sets.
 
-No list of postings is expanded to all its pairs. Each class in a list is first paired with three leaders of the list,
-which joins a group of near copies by as many pairs as it has members. What remains are lists that hold classes of
+No list of postings is expanded to all its pairs. Each class in a list is first paired with leaders of the list, in
+two rounds, which joins a group of near copies by as many pairs as it has members. What remains are lists that hold classes of
 different components; there, and only there, classes of different components are paired, so no link between components
 is lost.
 
@@ -37,6 +37,13 @@ COORDINATES = 64
 MATCHES = 34
 SEED = 20_011
 
+# The longer signature: coordinates, 16 of which share a number; and how many standard deviations below the expected
+# count of a pair at the threshold a count may lie.
+SKETCH = 512
+PER_NUMBER = 16
+FIRST = 8  # numbers that are looked at first
+DEVIATIONS = 4
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -104,18 +111,49 @@ def signatures(docs: DataFrame, coordinates: int = COORDINATES, seed: int = SEED
     return rows.mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_key binary, sig array<int>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(set_key, hashes) per document."""
+def packed(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, ``PER_NUMBER`` coordinates to a 64-bit number."""
+    digits = (signature.view(np.uint32) & np.uint32(15)).astype(np.uint64).reshape(-1, PER_NUMBER)
+    return (digits << (np.arange(PER_NUMBER, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(set_key, hashes, sketch) per document that has words."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(SKETCH, seed + 1)
         for batch in batches:
             for at in range(0, len(batch), 64):  # the sets of few documents at a time
-                sets = [shingles(t.as_py()) for t in batch.column(0)[at : at + 64]]
+                sets = [s for s in (shingles(t.as_py()) for t in batch.column(0)[at : at + 64]) if len(s)]
                 keys = pa.array([_set_key(s) for s in sets], pa.binary())
                 lists = _lists([s.view(np.int64) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([keys, lists], ["set_key", "hashes"])
+                sketches = _lists([packed(signer(s, 256)) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([keys, lists, sketches], ["set_key", "hashes", "sketch"])
+
+    return docs.select("text").mapInArrow(collect, "set_key binary, hashes array<bigint>, sketch array<bigint>")
+
+
+def least_count(coordinates: int, percent: int) -> int:
+    """Agreeing digits that a pair at the threshold has almost surely; unlike values share a digit 1 time in 16."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    return int(coordinates * p - DEVIATIONS * (coordinates * p * (1 - p)) ** 0.5)
 
-    return docs.select("text").mapInArrow(collect, "set_key binary, hashes array<bigint>")
+
+def _differing(a: Column, b: Column) -> Column:
+    """In how many of their 16 digits two numbers differ."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def similar_sketches(a: Column, b: Column, percent: int) -> tuple[Column, Column]:
+    """Whether the first numbers, and all of them, agree often enough."""
+    head = sum((_differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(FIRST)), F.lit(0))
+    counts = F.zip_with(a, b, _differing)
+    whole = F.aggregate(counts, F.lit(0), lambda total, x: total + x)
+    first = FIRST * PER_NUMBER
+    return head <= first - least_count(first, percent), whole <= SKETCH - least_count(SKETCH, percent)
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -173,8 +211,8 @@ def near_duplicates(
         F.col("doc_id").eqNullSafe(F.col("_first")),
         "left_semi",
     )
-    hashed = shingle_sets(texts).join(able.select("set_key", "cid"), "set_key")
-    sets = saved(hashed.select("cid", "hashes"), "shingle-sets")
+    hashed = shingle_sets(texts, seed).join(able.select("set_key", "cid"), "set_key")
+    sets = saved(hashed.select("cid", "hashes", "sketch"), "shingle-sets")
 
     def counted(pairs: DataFrame) -> DataFrame:
         left = able.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"))
@@ -183,31 +221,47 @@ def near_duplicates(
         sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         return both.filter(sizes & (agreeing(F.col("sig_a"), F.col("sig_b")) >= matches)).select("a", "b")
 
-    # Leaders of each list: the pairs grow with the postings, not with their square.
-    leaders = postings.groupBy("pair").agg(
-        F.min("cid").alias("l1"), F.max("cid").alias("l2"), F.min_by("cid", F.xxhash64("cid")).alias("l3")
+    def starred(labelled: DataFrame, orders: list[Column]) -> DataFrame:
+        """Pair the classes of each list with its leaders in other components; grows with the postings."""
+        least = [F.min_by(F.struct("cid", "root"), order) for order in orders]
+        leaders = labelled.groupBy("pair").agg(F.array(*least).alias("leaders"))
+        led = labelled.join(leaders, "pair").select("cid", "root", F.explode("leaders").alias("l"))
+        across = led.filter("root <> l.root")
+        return across.select(F.least("cid", "l.cid").alias("a"), F.greatest("cid", "l.cid").alias("b"))
+
+    def with_roots(roots: DataFrame) -> DataFrame:
+        return postings.join(roots, postings["cid"] == roots["node"], "left").select(
+            "pair", "cid", F.coalesce("root", "cid").alias("root")
+        )
+
+    alone = postings.withColumn("root", F.col("cid"))
+    links = saved(_confirmed(counted(starred(alone, [F.col("cid"), F.xxhash64("cid")])), sets, percent), "links")
+    roots = components(links)
+    # Again with a leader of the list's first component, another in each list, for what the first leaders missed.
+    order = F.struct("root", F.xxhash64("cid", "pair"))
+    links = saved(
+        links.unionByName(_confirmed(counted(starred(with_roots(roots), [order])), sets, percent)), "links"
     )
-    led = postings.join(leaders, "pair").select("cid", F.explode(F.array("l1", "l2", "l3")).alias("leader"))
-    first = led.filter("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b"))
-    links = saved(_confirmed(counted(first), sets, percent), "links")
     roots = components(links)
 
     # Lists that still hold several components: pair across components.
-    labelled = postings.join(roots, postings["cid"] == roots["node"], "left").select(
-        "pair", "cid", F.coalesce("root", "cid").alias("root")
-    )
+    labelled = with_roots(roots)
     spread = labelled.groupBy("pair").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2")
-    mixed = labelled.join(spread, "pair", "left_semi").join(able.select("cid", "sig", "n"), "cid")
-    mixed = saved(mixed, "mixed")
+    lists = postings.groupBy("cid").agg(F.collect_list("pair").alias("pairs"))
+    mixed = labelled.join(spread, "pair", "left_semi").join(able.select("cid", "n"), "cid")
+    mixed = saved(mixed.join(lists, "cid").join(sets.select("cid", "sketch"), "cid"), "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
+    head, whole = similar_sketches(F.col("x.sketch"), F.col("y.sketch"), percent)
     across = (
         (F.col("x.pair") == F.col("y.pair"))
         & (F.col("x.cid") < F.col("y.cid"))
         & (F.col("x.root") != F.col("y.root"))
         & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-        & (agreeing(F.col("x.sig"), F.col("y.sig")) >= matches)
+        & head
+        & (F.array_min(F.array_intersect("x.pairs", "y.pairs")) == F.col("x.pair"))
+        & whole
     )
-    rest = x.join(y, across).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    rest = x.join(y, across).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
     more = saved(_confirmed(rest, sets, percent), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
