@@ -136,13 +136,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
     idf = np.log((1 + total) / (1 + frequency)) + 1
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
 
-    def drawn(rows: DataFrame, n: int) -> DataFrame:
-        share = min(1.0, 4 / 3 * n / total * 2) if total else 1.0
+    def drawn(rows: DataFrame, n: int, part: float) -> DataFrame:
+        """About ``n`` of the rows, which are that part of all labelled ones."""
+        share = min(1.0, n / (total * part))
         draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
         return rows.filter(draw < share)
 
     fits = fold(F.col("doc_id")) != CALIBRATES
-    learning = drawn(labelled.filter(fits), sample * 3 // 4)
+    learning = drawn(labelled.filter(fits), sample, 2 / 3)
     place = {name: i for i, name in enumerate(languages)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +195,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
                 [pa.array(labels, pa.int32()), pa.array(logits, pa.list_(pa.float64()))], ["label", "logits"]
             )
 
-    checked = drawn(labelled.filter(~fits), calibration // 2).mapInArrow(score, "label int, logits array<double>").collect()
+    checked = (
+        drawn(labelled.filter(~fits), calibration, 1 / 3).mapInArrow(score, "label int, logits array<double>").collect()
+    )
     return LanguageModel(languages, idf, model.weights, temperature_of(checked))
 
 
