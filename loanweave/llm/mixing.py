@@ -73,7 +73,8 @@ def due_time(part: Column, schedule: Column) -> Column:
     def step(acc, i):
         a, b = F.get(schedule, i - 1), F.get(schedule, i)
         area, wanted = (a + b) / 2, part * total - acc["area"]
-        root = 2 * wanted / (a + F.sqrt(F.greatest(a * a + 2 * (b - a) * wanted, F.lit(0.0))))
+        slope = a + F.sqrt(F.greatest(a * a + 2 * (b - a) * wanted, F.lit(0.0)))
+        root = 2 * wanted / F.greatest(slope, F.lit(1e-300))  # the slope is 0 only where nothing is wanted
         inside = F.when(acc["t"].isNull() & (wanted <= area), (i - 1 + F.least(root, F.lit(1.0))) / steps)
         return F.struct(i.alias("i"), (acc["area"] + area).alias("area"), F.coalesce(acc["t"], inside).alias("t"))
 
@@ -83,28 +84,27 @@ def due_time(part: Column, schedule: Column) -> Column:
 def _demand(docs: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
     """Documents with ``size``, their source's size, target and place, and the words of it ``before`` them."""
     key = F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.lit("mix")))
-    sized = docs.withColumns({"size": word_count(F.col("text")), "_key": key}).withColumn(
+    name = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("null"))  # noqa: E731  never null, for plain joins
+    sized = docs.withColumns({"size": word_count(F.col("text")), "_key": key, "_name": name("source")}).withColumn(
         "_run", F.substring("_key", 1, BUCKET_DIGITS)
     )
     runs = sized.groupBy("source", "_run").agg(F.sum("size").alias("_words"))
     aims = targets(runs.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, most)
     earlier = Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
-    aims = aims.withColumnRenamed("source", "_name")
-    known = starts.join(aims, starts["source"].eqNullSafe(aims["_name"])).select(
-        F.col("source").alias("_source"), F.col("_run").alias("_r"), "_before", "source_size", "target", "place"
-    )
+    aims = aims.withColumn("_name", name("source")).drop("source")
+    known = starts.withColumn("_name", name("source")).join(aims, "_name").drop("source", "_words")
+    # Texts move once: the window and the join below share a partitioning.
     inside = (
-        Window.partitionBy("source", "_run")
+        Window.partitionBy("_name", "_run")
         .orderBy("_key", "size", F.xxhash64("text"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     in_run = sized.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    same = in_run["source"].eqNullSafe(known["_source"]) & (in_run["_run"] == known["_r"])
     return (
-        in_run.join(known, same)
+        in_run.join(known, ["_name", "_run"])
         .withColumn("before", F.col("_before") + F.col("_in"))
-        .drop("_key", "_run", "_in", "_source", "_r", "_before")
+        .drop("_key", "_name", "_run", "_in", "_before")
     )
 
 
