@@ -6,20 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BUCKETS = 1000
-MULTIPLIER = 2654435761
 HASH_DIGITS = 13  # hex digits of a key hash; 52 bits, exact in BIGINT and DOUBLE
 
 
-def key_bucket(key: Column, seed: int = 123) -> Column:
-    """(key * MULTIPLIER + seed) mod BUCKETS, reduced before multiplying so that large keys cannot overflow."""
-    reduced = F.pmod(key, F.lit(BUCKETS)) * F.lit(MULTIPLIER % BUCKETS)
-    return F.pmod(reduced + F.lit(seed), F.lit(BUCKETS)).cast("int")
-
-
 def key_digest(key: Column, seed: int) -> Column:
-    return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
+    """Digest of the key's text and the seed; a null key has one too, so no row is without a place."""
+    return F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed))))
 
 
 def key_hash(key: Column, seed: int) -> Column:
     """The leading hex digits of the keyed digest: uniform, and ordered as text like the number they write."""
     return F.substring(key_digest(key, seed), 1, HASH_DIGITS)
+
+
+def key_bucket(key: Column, seed: int = 123) -> Column:
+    """0 .. BUCKETS - 1 from the keyed digest, whatever the type or pattern of the keys."""
+    return (F.conv(key_hash(key, seed), 16, 10).cast("bigint") % BUCKETS).cast("int")

@@ -19,8 +19,8 @@ from .sampling import (
     sample_n,
     split,
     stratified_split,
-    with_bucket,
     with_folds,
+    with_key,
     with_stratified_split,
 )
 from .validation import (
@@ -37,6 +37,6 @@ __all__ = [
     "counts", "default_rate", "describe_numeric", "distinct_values", "drop_outliers", "exact_quantiles",
     "first_rows", "histogram", "is_compatible", "is_train", "join_truth", "label_frame", "level_counts",
     "nonnumeric_counts", "portfolio_kpis", "predicate", "regression_metrics", "sample_n", "schema_report", "split",
-    "stratified_split", "summary_quartiles", "unknown_categories", "validate", "with_bucket", "with_folds",
+    "stratified_split", "summary_quartiles", "unknown_categories", "validate", "with_folds", "with_key",
     "with_stratified_split",
 ]

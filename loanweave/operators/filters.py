@@ -9,9 +9,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many values a membership test becomes a semi join against a local table of known size.
-LONG_LIST = 500
-
 
 @dataclass(frozen=True)
 class FilterSpec:
@@ -32,21 +29,22 @@ def _conjunction(predicates: Iterable[Column]) -> Column:
 
 
 def predicate(columns: Sequence[str], spec: FilterSpec) -> Column:
-    """The filter set as one expression, long membership lists left out (see :func:`apply_filters`)."""
+    """The filter set as one expression; Catalyst turns a long list of values into a set."""
     return _conjunction(
-        [F.col(c).isin(list(values)) for c, values in spec.members.items() if len(values) <= LONG_LIST]
+        [F.col(c).isin(list(values)) for c, values in spec.members.items()]
         + [F.col(c).between(low, high) for c, (low, high) in spec.ranges.items()]
         + [F.col(c).cast("string") == v for c, v in spec.equals.items() if v is not None and c in columns]
     )
 
 
 def apply_filters(df: DataFrame, spec: FilterSpec) -> DataFrame:
-    kept = df.filter(predicate(df.columns, spec))
-    for column, values in spec.members.items():
-        if len(values) > LONG_LIST:
-            allowed = df.sparkSession.createDataFrame([(v,) for v in set(values)], df.select(column).schema)
-            kept = kept.join(allowed, column, "left_semi").select(*df.columns)
-    return kept
+    return df.filter(predicate(df.columns, spec))
+
+
+def keep_members(df: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
+    """Rows whose value is among those of a one-column table, for lists too long to be part of a plan."""
+    values = allowed.select(F.col(allowed.columns[0]).cast(df.schema[column].dataType).alias(column))
+    return df.join(values, column, "left_semi").select(*df.columns)
 
 
 def drop_outliers(df: DataFrame, max_age: float = 100, max_emp_length: float = 50) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LABEL
@@ -71,9 +71,9 @@ def summary_quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def counts(df: DataFrame, keys: Sequence[str], share: bool = False) -> DataFrame:
-    """Rows per key, optionally with the share of all rows. The share's window sees only the tallied rows."""
+    """Rows per key, optionally with the share of all rows."""
     tally = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return tally.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())) if share else tally
+    return tally.withColumn("share", F.col("n") / tally.agg(F.sum("n")).scalar()) if share else tally
 
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -116,23 +116,18 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def box_stats(df: DataFrame, columns: Sequence[str], by: str = LABEL) -> DataFrame:
     """Box-plot statistics of each column per value of ``by``: quartiles, whiskers at 1.5 IQR and outliers.
-
-    ``by`` must take few values (a label); the quantile step checks that.
     """
     long = melt(df, columns, keep=[by]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     quartiles = exact_quantiles(long, "value", [by, "feature"], [0.25, 0.5, 0.75])
     q1, median, q3 = (F.get("q", F.lit(i)) for i in range(3))
     fence = 1.5 * (q3 - q1)
-    entry = F.struct(
-        F.struct(by, "feature"),
-        F.struct(
-            q1.alias("q1"), median.alias("median"), q3.alias("q3"), (q1 - fence).alias("lo"), (q3 + fence).alias("hi")
-        ),
+    box = F.struct(
+        q1.alias("q1"), median.alias("median"), q3.alias("q3"), (q1 - fence).alias("lo"), (q3 + fence).alias("hi")
     )
-    boxes = quartiles.agg(F.map_from_entries(F.collect_list(entry)).alias("boxes")).scalar()
+    boxes = quartiles.select(F.col(by).alias("_by"), F.col("feature").alias("_feature"), box.alias("box"))
     value, within = F.col("value"), F.col("value").between(F.col("box.lo"), F.col("box.hi"))
     return (
-        long.withColumn("box", F.element_at(boxes, F.struct(by, "feature")))
+        long.join(boxes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("feature") == F.col("_feature")))
         .groupBy("feature", by, "box.q1", "box.median", "box.q3")
         .agg(
             F.count("*").alias("n"),

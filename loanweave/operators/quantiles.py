@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 50_000  # rank error of a sketch: at most rows / ACCURACY
-MAX_GROUPS = 10_000  # the sketches of this many groups at most travel to every task
 
 
 def _edges(probs: Sequence[float], accuracy: int) -> list[float]:
@@ -24,16 +23,12 @@ def _edges(probs: Sequence[float], accuracy: int) -> list[float]:
     return [e for p in probs for e in (max(0.0, p - slack), min(1.0, p + slack))]
 
 
-def _attach_edges(rows: DataFrame, by: list[str], sketch: DataFrame, few_groups: bool) -> DataFrame:
-    """Add the interval bounds of its group to each row."""
-    if not few_groups:
-        # AQE splits an oversized group of the left side; the right side has one row per group.
-        return rows.join(sketch, by)
-    entries = F.collect_list(F.struct(F.struct(*by), F.col("edges")))
-    checked = F.when(F.count("*") <= MAX_GROUPS, F.map_from_entries(entries)).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_GROUPS} groups: pass few_groups=False"))
-    )
-    return rows.withColumn("edges", F.element_at(sketch.agg(checked.alias("sketches")).scalar(), F.struct(*by)))
+def _attach_edges(rows: DataFrame, by: list[str], sketch: DataFrame) -> DataFrame:
+    """Add the interval bounds of its group to each row. One row per group on the right, so AQE may broadcast it, or
+    split an oversized group of the left side; null is a group like any other."""
+    named = sketch.select(*[F.col(c).alias(f"_{c}") for c in by], "edges")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return rows.join(named, same).drop(*[f"_{c}" for c in by])
 
 
 def exact_quantiles(
@@ -43,14 +38,12 @@ def exact_quantiles(
     probs: Sequence[float],
     interpolate: bool = True,
     accuracy: int = ACCURACY,
-    few_groups: bool = True,
 ) -> DataFrame:
     """One row per group: the ``by`` columns, ``n`` non-missing values, their ``min``, ``mean`` and ``max``, and ``q``,
     the quantiles in the order of ``probs``.
 
     ``interpolate`` chooses between the linearly interpolated quantile and the smallest observed value whose
-    cumulative share reaches the probability. ``few_groups`` promises at most ``MAX_GROUPS`` groups (checked at run
-    time); otherwise the interval bounds are joined to the rows instead of sent to every task.
+    cumulative share reaches the probability.
     """
     by, k = list(by), len(probs)
     v, edge = F.col("v"), lambda i: F.get("edges", F.lit(i))
@@ -60,7 +53,7 @@ def exact_quantiles(
     inside = reduce(lambda a, b: a | b, [v.between(edge(2 * i), edge(2 * i + 1)) for i in range(k)])
     stretch = reduce(lambda a, b: a + b, [(v > edge(i)).cast("int") for i in range(2 * k)])
     folded = (
-        _attach_edges(rows, by, sketch, few_groups)
+        _attach_edges(rows, by, sketch)
         .select(*by, "v", F.when(inside, v).alias("single"), F.when(~inside, stretch).alias("stretch"))
         .groupBy(*by, "single", "stretch")
         .agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum("v").alias("total"))

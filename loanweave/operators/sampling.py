@@ -33,10 +33,6 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = KEY) -> DataFrame
     return candidates.orderBy(digest, key).limit(n)
 
 
-def with_bucket(df: DataFrame, seed: int = 123, key: str = KEY) -> DataFrame:
-    return df.withColumn("bucket", key_bucket(F.col(key), seed))
-
-
 def is_train(train: float = TRAIN_SHARE, seed: int = 123, key: str = KEY):
     return key_bucket(F.col(key), seed) < round(train * BUCKETS)
 
@@ -47,15 +43,21 @@ def split(df: DataFrame, train: float = TRAIN_SHARE, seed: int = 123, key: str =
     return df.filter(chosen), df.filter(~chosen)
 
 
-def with_folds(df: DataFrame, k: int, train: float = TRAIN_SHARE, seed: int = 123, key: str = KEY) -> DataFrame:
-    """Append ``fold`` (0 .. k-1) to training rows. Folds are bucket ranges, so no key pattern can fill one alone."""
-    width = round(train * BUCKETS)
-    fold = F.floor(key_bucket(F.col(key), seed) * k / F.lit(width)).cast("int")
-    return df.withColumn("fold", fold)
+def with_key(df: DataFrame, key: str = KEY) -> DataFrame:
+    """The table with a row key: its own, or else a digest over all columns. Equal rows share a key."""
+    if key in df.columns:
+        return df
+    values = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null")) for c in df.columns]
+    return df.withColumn(key, F.md5(F.concat_ws("\x1f", *values)))
+
+
+def with_folds(df: DataFrame, k: int, seed: int = 321, key: str = KEY) -> DataFrame:
+    """Append ``fold`` (0 .. k-1), from a digest of its own: even on any table, split or not."""
+    return df.withColumn("fold", F.floor(key_bucket(F.col(key), seed) * k / F.lit(BUCKETS)).cast("int"))
 
 
 def with_stratified_split(
-    df: DataFrame, strata: str, train: float = 0.75, seed: int = 123, key: str = KEY, max_strata: int = 10_000
+    df: DataFrame, strata: str, train: float = 0.75, seed: int = 123, key: str = KEY
 ) -> DataFrame:
     """Append ``is_train``: exactly ``ceil(train * size)`` rows of each stratum, those with the smallest key hash.
 
@@ -75,23 +77,21 @@ def with_stratified_split(
         met = counted.filter((F.col("end") >= F.col("quota")) & (before < F.col("quota")))
         return met.withColumn("missing", F.col("quota") - before)
 
-    def by_stratum(table: DataFrame, *fields: str) -> Column:
-        entries = F.map_from_entries(F.collect_list(F.struct(F.struct("s"), F.struct(*fields))))
-        error = F.raise_error(F.lit(f"more than {max_strata} strata"))
-        return table.agg(F.when(F.count("*") <= max_strata, entries).otherwise(error).alias("m")).scalar()
-
     per_range = rows.withColumn("r", hash_range).groupBy("s", "r").agg(F.count("*").alias("n"))
     cut_range = where_met(per_range, F.ceil(F.lit(train) * F.sum("n").over(stratum)), "r")
+    # One row per stratum; the joins are null-safe, and Catalyst broadcasts the small side where it is small.
+    cuts = cut_range.select(F.col("s").alias("cut_s"), F.col("r").alias("cut_r"), F.col("missing").alias("take"))
     per_key = (
-        rows.withColumn("cut", F.element_at(by_stratum(cut_range, "r", "missing"), F.struct("s")))
-        .filter(hash_range == F.col("cut.r"))
-        .groupBy("s", "h", "k", F.col("cut.missing").alias("take"))
+        rows.join(cuts, F.col("s").eqNullSafe(F.col("cut_s")) & (hash_range == F.col("cut_r")))
+        .groupBy("s", "h", "k", "take")
         .agg(F.count("*").alias("n"))
     )
-    cut_key = where_met(per_key, F.col("take"), "h", "k")
-    last = F.element_at(by_stratum(cut_key, "h", "k"), F.struct(F.col(strata).alias("s")))
+    last = where_met(per_key, F.col("take"), "h", "k").select(
+        F.col("s").alias("_s"), F.struct("h", "k").alias("_last")
+    )
     mark = F.struct(key_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
-    return df.withColumn("is_train", F.coalesce(mark <= last, F.lit(False)))
+    joined = df.join(last, F.col(strata).eqNullSafe(F.col("_s")), "left")
+    return joined.withColumn("is_train", F.coalesce(mark <= F.col("_last"), F.lit(False))).drop("_s", "_last")
 
 
 def stratified_split(df: DataFrame, strata: str, train: float = 0.75, seed: int = 123, key: str = KEY):

@@ -84,7 +84,14 @@ credit_dirty AS (
   FROM credit)"""
 )
 
-BUCKET_SQL = "((application_id * 2654435761 + 123) % 1000)"
+
+def bucket_sql(seed: int) -> str:
+    """The bucket of the row key: leading digits of its digest, as a number, modulo 1000."""
+    return f"(CAST('0x' || SUBSTR(MD5(CAST(application_id AS VARCHAR) || '-{seed}'), 1, 13) AS BIGINT) % 1000)"
+
+
+BUCKET_SQL = bucket_sql(123)
+FOLD_SQL = f"CAST(FLOOR({bucket_sql(321)} * 5 / 1000) AS INT)"
 
 
 def over_credit(select: str) -> str:

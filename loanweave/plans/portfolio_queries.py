@@ -32,7 +32,7 @@ from ..operators import (
 from ..schema import APPLICATION_SCHEMA, CATEGORICAL, COLUMNS, CONTRACT, KEY, LABEL, NUMERIC
 from ..session import scratch_path
 from ..sources import credit, credit_dirty, export_csv, read_applications, table
-from .catalog import BUCKET_SQL, over_credit, over_dirty, query
+from .catalog import BUCKET_SQL, FOLD_SQL, over_credit, over_dirty, query
 from .tuning import grid, search_plan
 
 ALL = ", ".join(COLUMNS)
@@ -490,7 +490,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     over_credit(
-        f"""SELECT CAST(FLOOR({BUCKET_SQL} * 5 / 800) AS INT) AS fold, COUNT(*) AS n,
+        f"""SELECT {FOLD_SQL} AS fold, COUNT(*) AS n,
   CAST(SUM(loan_status) AS BIGINT) AS n_default FROM credit WHERE {BUCKET_SQL} < 800 GROUP BY 1"""
     )
 )
@@ -504,7 +504,7 @@ def fold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f""",
 g AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY t, d, i) - 1 AS INT) AS point, t AS num_trees, d AS max_depth, i AS impurity
       FROM (VALUES (20), (50), (100)) a(t), (VALUES (3), (5), (10)) b(d), (VALUES ('entropy'), ('gini')) c(i)),
-f AS (SELECT CAST(FLOOR({BUCKET_SQL} * 5 / 800) AS INT) AS fold, COUNT(*) AS n_valid
+f AS (SELECT {FOLD_SQL} AS fold, COUNT(*) AS n_valid
       FROM credit WHERE {BUCKET_SQL} < 800 GROUP BY 1)
 SELECT point, num_trees, max_depth, impurity, fold, CAST((SELECT SUM(n_valid) FROM f) AS BIGINT) - n_valid AS n_train, n_valid
 FROM g, f"""

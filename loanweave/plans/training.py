@@ -14,6 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sampling import with_key
 from ..schema import CONTRACT, KEY, LABEL, NOT_A_FEATURE
 from .features import SEED, ForestParams, build_pipeline
 
@@ -41,7 +42,7 @@ def balanced(df: DataFrame, key: str = KEY) -> DataFrame:
 
 def train(df: DataFrame, params: ForestParams = ForestParams(), relative_error: float = 0.001) -> PipelineModel:
     """Fit the whole pipeline on the columns it needs."""
-    with persisted(balanced(df.select(*TRAINING_COLUMNS))) as rows:
+    with persisted(balanced(with_key(df).select(*TRAINING_COLUMNS))) as rows:
         return build_pipeline(params, relative_error).fit(rows)
 
 

@@ -37,9 +37,6 @@ IMPUTED = ("person_emp_length", "loan_int_rate")
 # Required from a caller and profiled, but not fed to the model.
 NOT_A_FEATURE = ("loan_percent_income",)
 
-# The label is binary, 1 = default.
-LABEL_VALUES = (0, 1)
-
 APPLICATION_SCHEMA = T.StructType(
     [
         T.StructField(KEY, T.LongType()),

@@ -14,10 +14,18 @@ from ..operators.filters import drop_outliers
 from ..schema import APPLICATION_SCHEMA, CATEGORICAL, KEY
 
 
-def read_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A headed delimited file with every column as text, matched by header name. No inference pass over the data."""
+def read_text(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
+    """Headed delimited files with every column as text and missing markers as null. No inference pass over the data.
+
+    Quotes inside a quoted field are doubled; ``multiline`` allows line breaks in it. A file whose header differs from
+    the first one's stops the job instead of being read into the wrong columns.
+    """
+    options = dict(header=True, inferSchema=False, sep=sep, escape='"', multiLine=multiline)
     try:
-        return spark.read.options(header=True, inferSchema=False, sep=sep).csv(path)
+        columns = spark.read.options(**options).csv(path).columns
+        declared = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        text = spark.read.schema(declared).options(**options, enforceSchema=False).csv(path)
+        return text.select(*[token_to_null(F.col(f"`{c}`")).alias(c) for c in columns])
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no application file at {path}") from exc
@@ -54,7 +62,7 @@ def read_applications(spark: SparkSession, path: str, sep: str = ",", infer: boo
     if infer:
         df = spark.read.options(header=True, inferSchema=True, sep=sep).csv(path)
     else:
-        df = typed(text.select(*[token_to_null(F.col(f"`{c}`")).alias(c) for c in text.columns]))
+        df = typed(text)
     if name:
         df.createOrReplaceTempView(name)
     return df
@@ -73,7 +81,7 @@ def from_rows(spark: SparkSession, rows: Iterable, columns: Iterable[str] | None
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Headed CSV part files, written by the executors."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(header=True, escape='"').csv(path)
     return path
 
 

@@ -93,3 +93,23 @@ def test_scratch_is_the_cluster_folder_where_one_is_named(spark):
 def test_no_machine_local_scratch_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(session_stub("yarn"), "x")
+
+
+def test_quotes_and_line_breaks_survive_export(spark, tmp_path):
+    rows = [('a "b", c', 1), ("two\nlines", 2), ("plain", 3)]
+    path = export_csv(spark.createDataFrame(rows, "note string, n int"), str(tmp_path / "out"))
+    back = read_text(spark, path, multiline=True).collect()
+    assert sorted((r["note"], int(r["n"])) for r in back) == sorted(rows)
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.csv", "person_age,person_income\n30,1000\n")
+    write(tmp_path / "in" / "b.csv", "person_income,person_age\n2000,40\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_text(spark, str(tmp_path / "in")).collect()
+
+
+def test_markers_are_missing_before_validation(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "person_age,person_emp_length\n30,NA\n")
+    assert read_text(spark, path).first()["person_emp_length"] is None

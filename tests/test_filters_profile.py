@@ -12,7 +12,7 @@ from loanweave.operators import (
     portfolio_kpis,
     schema_report,
 )
-from loanweave.operators.filters import LONG_LIST
+from loanweave.operators.filters import keep_members, predicate
 from loanweave.sources import credit
 
 
@@ -33,11 +33,12 @@ def test_membership_drops_missing_but_absent_filter_keeps_them(people):
     assert ids(apply_filters(people, FilterSpec(members={"person_home_ownership": []}))) == []
 
 
-def test_long_membership_list_becomes_a_semi_join(people):
-    spec = FilterSpec(members={"application_id": list(range(2, LONG_LIST + 50))}, ranges={"person_age": (0, 60)})
-    kept = apply_filters(people, spec)
-    assert kept.columns == people.columns
-    assert ids(kept) == [3]
+@pytest.mark.parametrize("n", [1, 500, 501, 5000])
+def test_membership_lists_of_any_length(spark, people, n):
+    spec = FilterSpec(members={"application_id": list(range(3, 3 + n))}, ranges={"person_age": (0, 60)})
+    assert ids(apply_filters(people, spec)) == ids(people.filter(predicate(people.columns, spec))) == [3]
+    values = spark.range(3, 3 + n).selectExpr("CAST(id AS STRING) AS v")
+    assert ids(keep_members(people, "application_id", values).filter("person_age <= 60")) == [3]
 
 
 def test_optional_equality_compares_text_and_ignores_unknown_columns(people):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanweave.functions import key_bucket
-from loanweave.operators import sample_n, split, stratified_split, with_folds, with_stratified_split
+from loanweave.operators import sample_n, split, stratified_split, with_folds, with_key, with_stratified_split
 from loanweave.schema import KEY
 
 
@@ -21,7 +21,22 @@ def keys(df) -> set[int]:
 def test_bucket_formula_and_large_keys(spark):
     values = [0, 1, 999, 1000, 123456, 2**40, 2**62]
     df = spark.createDataFrame([(v,) for v in values], "k bigint").select("k", key_bucket(F.col("k")).alias("b"))
-    assert {r["k"]: r["b"] for r in df.collect()} == {v: (v * 2654435761 + 123) % 1000 for v in values}
+    assert {r["k"]: r["b"] for r in df.collect()} == {v: int(digest(v, 123)[:13], 16) % 1000 for v in values}
+
+
+@pytest.mark.parametrize("key", ["id * 1000", "concat('A-', id)", "IF(id % 2 = 0, NULL, id)"])
+def test_no_key_is_lost_and_none_fills_one_part(spark, key):
+    df = spark.range(4000).selectExpr(f"{key} AS {KEY}", "1 AS loan_status")
+    train, test = split(df)
+    assert train.count() + test.count() == 4000
+    folds = [r["count"] for r in with_folds(df.filter(f"{KEY} is not null"), 5).groupBy("fold").count().collect()]
+    assert len(folds) == 5 and max(folds) < 1.3 * min(folds)
+    assert train.count() > 1000
+
+
+def test_a_table_without_key_gets_one(spark):
+    df = with_key(spark.createDataFrame([(1, None), (None, 1), (1, None)], "a int, b int"))
+    assert df.select(KEY).distinct().count() == 2 and with_key(df) is df
 
 
 def test_split_covers_the_table_once(loans):
