@@ -43,19 +43,18 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & some, F.lit(False))
 
 
-def learn(sample: np.ndarray, bits: int, seed: int = SEED, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(centre, projection): signs of (x - centre) @ projection are the code.
+def learn(sample: np.ndarray, bits: int, seed: int = SEED, rounds: int = ROUNDS) -> np.ndarray:
+    """The projection whose signs are the code of a vector.
 
-    Principal directions are rotated so that the quantisation error |sign(VR) - VR| is least: alternately take the
+    The origin stays where it is: cosines are angles at it, and two vectors differ in a sign with a probability that
+    is their angle, also if all vectors lie in one direction. Principal directions are rotated so that the quantisation error |sign(VR) - VR| is least: alternately take the
     signs, then the best rotation for them (orthogonal Procrustes). Codes longer than the vector use several rotations,
     each from another random start.
     """
-    centre = sample.mean(axis=0)
-    flat = sample - centre
-    _, directions = np.linalg.eigh(flat.T @ flat)
+    _, directions = np.linalg.eigh(sample.T @ sample)
     kept = directions[:, ::-1]
     dims = kept.shape[1]
-    v = flat @ kept
+    v = sample @ kept
     rng = np.random.default_rng(seed)
     parts = []
     for _ in range(-(-bits // dims)):
@@ -65,8 +64,7 @@ def learn(sample: np.ndarray, bits: int, seed: int = SEED, rounds: int = ROUNDS)
             left, _, right = np.linalg.svd(signs.T @ v)
             rotation = (left @ right).T
         parts.append(kept @ rotation)
-        # a code that all share tells nothing: the next start is rotated away from this one
-    return centre, np.concatenate(parts, axis=1)[:, :bits]
+    return np.concatenate(parts, axis=1)[:, :bits]
 
 
 def tables_for(rows: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -76,7 +74,7 @@ def tables_for(rows: int, cosine: float = COSINE, recall: float = RECALL) -> tup
     return width, math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
 
 
-def _coded(classes: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]], width: int, tables: int) -> DataFrame:
+def _coded(classes: DataFrame, models: dict[int, np.ndarray], width: int, tables: int) -> DataFrame:
     """(cid, check, subs): the check code as a number, and the substring of each table."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +83,9 @@ def _coded(classes: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]],
         for batch in batches:
             checks, subs = [], []
             for vector in batch.column(1).to_pylist():
-                centre, projection = models[len(vector)]
                 x = np.asarray(vector, np.float64)
                 x /= np.abs(x).max()
-                bits = (x / np.linalg.norm(x) - centre) @ projection >= 0
+                bits = x / np.linalg.norm(x) @ models[len(vector)] >= 0
                 checks.append(int((check_powers * bits[:CHECK_BITS]).sum(dtype=np.uint64).astype(np.int64)))
                 subs.append((bits[CHECK_BITS:].reshape(tables, width) * powers).sum(axis=1).tolist())
             columns = [batch.column(0), pa.array(checks, pa.int64()), pa.array(subs, pa.list_(pa.int64()))]
