@@ -10,7 +10,7 @@ from loanweave.sources import credit, from_rows
 SF = "/root/testdata/sf0.001"
 
 # One applicant with every field in the usual range.
-APPLICANT = (41, 52300.0, "OWN", 9.0, "MEDICAL", 7400.0, 9.25, 0.14, "N", 12)
+APPLICANT = (41, 52300.0, "RENT", 9.0, "MEDICAL", 7400.0, 9.25, 0.14, "N", 12)
 APPLICANT_COLUMNS = list(CONTRACT)
 
 
