@@ -6,6 +6,7 @@ from .profile import (
     box_stats,
     counts,
     describe_numeric,
+    describe_text,
     distinct_values,
     histogram,
     level_counts,
@@ -34,7 +35,7 @@ from .validation import (
 
 __all__ = [
     "FilterSpec", "apply_filters", "auc", "auc_evaluator", "bounds", "box_stats", "check_columns", "confusion",
-    "counts", "default_rate", "describe_numeric", "distinct_values", "drop_outliers", "exact_quantiles",
+    "counts", "default_rate", "describe_numeric", "describe_text", "distinct_values", "drop_outliers", "exact_quantiles",
     "first_rows", "histogram", "is_compatible", "is_train", "join_truth", "label_frame", "level_counts",
     "nonnumeric_counts", "portfolio_kpis", "predicate", "regression_metrics", "sample_n", "schema_report", "split",
     "stratified_split", "summary_quartiles", "unknown_categories", "validate", "with_folds", "with_key",

@@ -63,6 +63,15 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Count, minimum and maximum of each text column, in one pass."""
+    measures = {"n": F.count, "min": F.min, "max": F.max}
+    wide = df.agg(*[fn(F.col(c)).alias(f"{m}:{c}") for c in columns for m, fn in measures.items()])
+    return _spread(
+        wide, [(F.lit(c).alias("feature"), *[F.col(f"{m}:{c}").alias(m) for m in measures]) for c in columns]
+    )
+
+
 def summary_quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minimum, quartiles, mean and maximum of each column."""
     quartiles = exact_quantiles(melt(df, columns), "value", ["feature"], [0.25, 0.5, 0.75])

@@ -24,7 +24,7 @@ UNKNOWN_CATEGORY = "categorie_inconnue"
 MISSING_VALUE = "valeur_manquante"
 ERRORS = (MISSING_COLUMN, BAD_NUMBER, UNKNOWN_CATEGORY)
 
-REPORT_SCHEMA = "level string, kind string, column_name string, value string, n bigint"
+REPORT_SCHEMA = "level string, kind string, column_name string, value string, allowed string, n bigint"
 NEEDED = tuple(c for c in CONTRACT if c not in IMPUTED and c not in NOT_A_FEATURE)
 
 
@@ -78,9 +78,15 @@ def unknown_categories(df: DataFrame, dictionary: DataFrame, columns: Sequence[s
     )
 
 
+def _listed(values: Sequence[str]) -> Column:
+    return F.lit(", ".join(sorted(map(str, values))))
+
+
 def validate(df: DataFrame, labels: Mapping[str, Sequence[str]], key: str | None = None) -> DataFrame:
-    """The findings as rows (level, kind, column_name, value, n), with one ``verdict`` row that carries the row count.
+    """The findings as rows (level, kind, column_name, value, allowed, n), with one ``verdict`` row that carries the row
+    count.
 
+    ``allowed`` lists the known categories beside an unknown one, and the contract's columns beside a missing one.
     ``n`` counts rows, or is 1 for a finding about the schema. Every unknown value has its own row. A category column
     without learned labels is not checked.
     """
@@ -90,9 +96,10 @@ def validate(df: DataFrame, labels: Mapping[str, Sequence[str]], key: str | None
         verdict = df.agg(
             F.lit("verdict").alias("level"), F.lit("incompatible").alias("kind"),
             F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("value"),
-            F.count("*").alias("n"),
+            F.lit(None).cast("string").alias("allowed"), F.count("*").alias("n"),
         )
-        found = spark.createDataFrame([("error", MISSING_COLUMN, c, None, 1) for c in columns.missing], REPORT_SCHEMA)
+        rows = [("error", MISSING_COLUMN, c, None, ", ".join(CONTRACT), 1) for c in columns.missing]
+        found = spark.createDataFrame(rows, REPORT_SCHEMA)
         return found.unionByName(verdict)
 
     def item(kind: str, column: str | None, when, value=None):
@@ -118,20 +125,37 @@ def validate(df: DataFrame, labels: Mapping[str, Sequence[str]], key: str | None
         .groupBy("item.kind", "item.column_name", "item.value")
         .agg(F.count("*").alias("n"))
     )
-    is_error = F.col("kind").isin(*ERRORS)
-    findings = tally.filter(F.col("kind") != "row").select(
-        F.when(is_error, "error").otherwise("warning").alias("level"), "kind", "column_name", "value", "n"
+    # Findings and verdict come from one further tally of the few entries, so the rows are looked at once.
+    kind, is_error, none, zero = F.col("kind"), F.col("kind").isin(*ERRORS), F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    finding = F.struct(
+        F.when(is_error, "error").otherwise("warning").alias("level"), "kind", "column_name", "value", "n",
+        zero.alias("errors"),
+    )
+    share = F.struct(
+        F.lit("verdict").alias("level"), none.alias("kind"), none.alias("column_name"), none.alias("value"),
+        F.when(kind == "row", F.col("n")).otherwise(zero).alias("n"),
+        F.when(is_error, F.col("n")).otherwise(zero).alias("errors"),
+    )
+    parts = tally.select(F.explode(F.when(kind == "row", F.array(share)).otherwise(F.array(finding, share))).alias("part"))
+    # A table without rows has a verdict too.
+    none_yet = spark.createDataFrame(
+        [("verdict", None, None, None, 0, 0)],
+        "level string, kind string, column_name string, value string, n bigint, errors bigint",
     )
-    verdict = tally.agg(
-        F.lit("verdict").alias("level"),
-        F.when(F.count(F.when(is_error, 1)) == 0, "compatible").otherwise("incompatible").alias("kind"),
-        F.lit(None).cast("string").alias("column_name"),
-        F.lit(None).cast("string").alias("value"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "row", F.col("n"))), F.lit(0)).alias("n"),
-    )
-    report = findings.unionByName(verdict)
+    summed = (
+        parts.select("part.*").unionByName(none_yet).groupBy("level", "kind", "column_name", "value")
+        .agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
+    )
+    known = [
+        F.when((kind == UNKNOWN_CATEGORY) & (F.col("column_name") == c), _listed(labels[c])) for c in CATEGORICAL if labels.get(c)
+    ]
+    verdict = F.when(F.col("errors") == 0, "compatible").otherwise("incompatible")
+    report = summed.select(
+        "level", F.when(F.col("level") == "verdict", verdict).otherwise(kind).alias("kind"), "column_name", "value",
+        F.coalesce(none, *known).alias("allowed"), "n",
+    )
     if columns.extra:
-        extra = spark.createDataFrame([("warning", EXTRA_COLUMN, c, None, 1) for c in columns.extra], REPORT_SCHEMA)
+        extra = spark.createDataFrame([("warning", EXTRA_COLUMN, c, None, None, 1) for c in columns.extra], REPORT_SCHEMA)
         report = report.unionByName(extra)
     return report
 

@@ -15,6 +15,7 @@ from ..operators import (
     confusion,
     counts,
     describe_numeric,
+    describe_text,
     distinct_values,
     drop_outliers,
     first_rows,
@@ -201,6 +202,18 @@ def describe_numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(describe_numeric(credit(spark, sf_dir, _MEASURED), _MEASURED), "mean", "sd")
 
 
+@query(
+    over_credit(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, COUNT({c}) AS n, MIN({c}) AS min, MAX({c}) AS max FROM credit" for c in CATEGORICAL
+        )
+    ),
+    name="describe_text",
+)
+def describe_text_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_text(credit(spark, sf_dir, CATEGORICAL), CATEGORICAL)
+
+
 @query(
     over_credit(
         " UNION ALL ".join(
@@ -435,7 +448,8 @@ def truth_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     over_credit(
         """SELECT loan_status AS truth, COUNT(*) FILTER (NOT loan_percent_income > 0.5) AS pred_0,
-  COUNT(*) FILTER (loan_percent_income > 0.5) AS pred_1 FROM credit GROUP BY loan_status"""
+  COUNT(*) FILTER (loan_percent_income > 0.5) AS pred_1, COUNT(*) FILTER (loan_percent_income IS NULL) AS pred_other
+FROM credit GROUP BY loan_status"""
     )
 )
 def confusion_rule(spark: SparkSession, sf_dir: str) -> DataFrame:

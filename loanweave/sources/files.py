@@ -48,19 +48,40 @@ def typed(df: DataFrame, schema: T.StructType = APPLICATION_SCHEMA) -> DataFrame
             return column.try_cast("bigint").alias(name)
         number = to_number(column) if isinstance(current[name], T.StringType) else column.cast("double")
         number = nan_to_null(number)
+        if isinstance(target, T.IntegerType):
+            # A fraction is no whole number: null, like other text that does not convert, rather than cut off.
+            number = F.when(number == F.floor(number), number)
         return (number if isinstance(target, T.DoubleType) else number.try_cast(target)).alias(name)
 
     return df.select(*[cast(name) for name in df.columns])
 
 
+def inferred(df: DataFrame) -> DataFrame:
+    """Text columns to BIGINT or DOUBLE where every value present converts, found in one aggregation."""
+    kinds = {"bigint": lambda c: F.trim(c).try_cast("bigint"), "double": to_number}
+    fails = [
+        F.count(F.when(F.col(f"`{c}`").isNotNull() & to(F.col(f"`{c}`")).isNull(), 1)).alias(f"{kind}:{c}")
+        for c in df.columns
+        for kind, to in kinds.items()
+    ]
+    found = df.agg(*fails, *[F.count(F.col(f"`{c}`")).alias(f"n:{c}") for c in df.columns]).first()
+
+    def cast(c: str):
+        kind = next((k for k in kinds if found[f"n:{c}"] and not found[f"{k}:{c}"]), None)
+        return (kinds[kind](F.col(f"`{c}`")) if kind else F.col(f"`{c}`")).alias(c)
+
+    return df.select(*[cast(c) for c in df.columns])
+
+
 def read_applications(spark: SparkSession, path: str, sep: str = ",", infer: bool = False, name: str | None = None):
     """Applications from a headed delimited file, optionally registered as a view.
 
-    Declared types by default; ``infer=True`` lets Spark infer them, at the price of one more pass over the file.
+    Declared types by default; ``infer=True`` takes them from the values instead (whole number, number or text, missing
+    markers left out), at the price of one more pass over the file.
     """
     text = read_text(spark, path, sep)
     if infer:
-        df = spark.read.options(header=True, inferSchema=True, sep=sep).csv(path)
+        df = inferred(text)
     else:
         df = typed(text)
     if name:

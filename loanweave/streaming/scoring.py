@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.banding import ALERT_POLICY, BandPolicy
 from ..plans.scoring import score
+from ..plans.training import persisted
 from ..schema import APPLICATION_SCHEMA
 
 
@@ -36,17 +37,20 @@ def score_stream(
     checkpoint: str,
     policy: BandPolicy = ALERT_POLICY,
     available_now: bool = True,
-) -> tuple[StreamingQuery, StreamingQuery]:
-    """Start two queries: scored rows to ``out/scored`` and rejects to ``out/rejects``.
+) -> StreamingQuery:
+    """Start one query that reads the landing folder once and writes scored rows to ``out/scored`` and rejects to
+    ``out/rejects``.
 
-    No state is kept. The file sink's log and the checkpoint make each row appear exactly once across restarts.
+    No state is kept. Each batch has its own subfolder, which a repeated batch overwrites, so that each row appears
+    exactly once across restarts.
     """
-    scored, rejects = score(model, applications, policy)
 
-    def start(rows: DataFrame, name: str) -> StreamingQuery:
-        writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{checkpoint}/{name}")
-        if available_now:
-            writer = writer.trigger(availableNow=True)
-        return writer.start(f"{out}/{name}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with persisted(batch) as rows:
+            for part, name in zip(score(model, rows, policy), ("scored", "rejects")):
+                part.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
 
-    return start(scored, "scored"), start(rejects, "rejects")
+    writer = applications.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

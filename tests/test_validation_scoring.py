@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loanweave.operators import check_columns, is_compatible, label_frame, unknown_categories, validate
+from loanweave.operators import check_columns, confusion, is_compatible, label_frame, unknown_categories, validate
 from loanweave.plans.features import label_dictionary
 from loanweave.plans.model_queries import held_out_part
 from loanweave.plans.scoring import score, score_applicants, score_if_compatible, score_summary
@@ -128,8 +128,7 @@ def test_the_loan_ratio_is_not_needed(applicant, model):
 def test_csv_stream(spark, model, loans, tmp_path):
     landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
     loans.write.option("header", True).csv(landing)
-    for query in score_stream(model, read_stream(spark, landing, fmt="csv"), out, str(tmp_path / "checkpoint")):
-        query.awaitTermination()
+    score_stream(model, read_stream(spark, landing, fmt="csv"), out, str(tmp_path / "checkpoint")).awaitTermination()
     assert spark.read.parquet(f"{out}/scored").count() == loans.count()
 
 
@@ -145,8 +144,7 @@ def test_stream_resumes_without_repeating(spark, model, tmp_path):
     broken = rows.withColumn("loan_intent", F.when(F.col(KEY) % 10 != 1, F.col("loan_intent")))
     for part in (broken.filter(half), broken.filter(~half)):
         part.write.mode("append").parquet(landing)
-        for query in score_stream(model, read_stream(spark, landing), out, checkpoint):
-            query.awaitTermination()
+        score_stream(model, read_stream(spark, landing), out, checkpoint).awaitTermination()
     scored, rejects = score(model, broken)
     assert rejects.count() > 0
     pick = [KEY, "prediction", "probability_default", "risk_level"]
@@ -154,3 +152,31 @@ def test_stream_resumes_without_repeating(spark, model, tmp_path):
     assert streamed.exceptAll(scored.select(*pick)).count() == 0
     assert streamed.count() == scored.count()
     assert spark.read.parquet(f"{out}/rejects").count() == rejects.count()
+
+
+def test_report_lists_what_is_allowed(applicant, labels):
+    odd = applicant.withColumn("loan_intent", F.lit("YACHT"))
+    row = validate(odd, labels).filter("kind = 'categorie_inconnue'").first()
+    assert row["allowed"].split(", ") == sorted(labels["loan_intent"])
+    missing = validate(applicant.drop("person_age"), labels).filter("level = 'error'").first()
+    assert "person_age" in missing["allowed"].split(", ")
+
+
+def test_one_scan_for_a_report(spark, loans, labels, tmp_path, capsys):
+    loans.write.option("header", True).csv(str(tmp_path / "in"))
+    validate(read_text(spark, str(tmp_path / "in")), labels, KEY).explain()
+    assert capsys.readouterr().out.count("FileScan") == 1
+
+
+def test_rejects_keep_bad_text(applicant, model):
+    odd = applicant.withColumns({"person_income": F.lit("12d"), "person_emp_length": F.lit("long")})
+    scored, rejects = score(model, odd)
+    row = rejects.first()
+    assert scored.count() == 0 and (row["person_income"], row["person_emp_length"]) == ("12d", "long")
+    assert set(row["reasons"]) == {"type_incompatible:person_income", "type_incompatible:person_emp_length"}
+
+
+def test_confusion_is_square_and_whole(spark):
+    rows = spark.createDataFrame([(0, 0), (0, None), (1, 7), (None, 1)], "y int, p int")
+    cells = {r["truth"]: tuple(r)[1:] for r in confusion(rows, "y", "p", [0, 1, 2]).collect()}
+    assert cells == {0: (1, 0, 0, 1), 1: (0, 0, 0, 1), 2: (0, 0, 0, 0), None: (0, 1, 0, 0)}
