@@ -14,6 +14,9 @@ from ..operators.filters import drop_outliers
 from ..schema import APPLICATION_SCHEMA, CATEGORICAL, KEY
 
 
+WHOLE = "^[+-]?[0-9]+$"
+
+
 def read_text(spark: SparkSession, path: str, sep: str = ",", multiline: bool = False) -> DataFrame:
     """Headed delimited files with every column as text and missing markers as null. No inference pass over the data.
 
@@ -57,8 +60,9 @@ def typed(df: DataFrame, schema: T.StructType = APPLICATION_SCHEMA) -> DataFrame
 
 
 def inferred(df: DataFrame) -> DataFrame:
-    """Text columns to BIGINT or DOUBLE where every value present converts, found in one aggregation."""
-    kinds = {"bigint": lambda c: F.trim(c).try_cast("bigint"), "double": to_number}
+    """Text columns to INT, BIGINT or DOUBLE where every value present converts, found in one aggregation."""
+    whole = lambda kind: lambda c: F.when(F.trim(c).rlike(WHOLE), F.trim(c).try_cast(kind))
+    kinds = {"int": whole("int"), "bigint": whole("bigint"), "double": to_number}
     fails = [
         F.count(F.when(F.col(f"`{c}`").isNotNull() & to(F.col(f"`{c}`")).isNull(), 1)).alias(f"{kind}:{c}")
         for c in df.columns

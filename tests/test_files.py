@@ -113,3 +113,15 @@ def test_files_with_other_headers_are_refused(spark, tmp_path):
 def test_markers_are_missing_before_validation(spark, tmp_path):
     path = write(tmp_path / "a.csv", "person_age,person_emp_length\n30,NA\n")
     assert read_text(spark, path).first()["person_emp_length"] is None
+
+
+def test_inference_leaves_missing_markers_out(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "a,b,c,d\n1,NA,3000000000,x\nNA,2.5,1,7\n")
+    df = read_applications(spark, path, infer=True)
+    assert df.dtypes == [("a", "int"), ("b", "double"), ("c", "bigint"), ("d", "string")]
+    assert [tuple(r) for r in df.collect()] == [(1, None, 3000000000, "x"), (None, 2.5, 1, "7")]
+
+
+def test_a_fraction_is_no_whole_number(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "application_id,person_age\n1,35.7\n2,35.0\n")
+    assert [r["person_age"] for r in read_applications(spark, path).collect()] == [None, 35]
