@@ -32,7 +32,7 @@ from ..operators import (
 )
 from ..schema import APPLICATION_SCHEMA, CATEGORICAL, COLUMNS, CONTRACT, KEY, LABEL, NUMERIC
 from ..session import scratch_path
-from ..sources import credit, credit_dirty, export_csv, read_applications, table
+from ..sources import credit, credit_dirty, export_csv, read_applications, read_text, table
 from .catalog import BUCKET_SQL, FOLD_SQL, over_credit, over_dirty, query
 from .tuning import grid, search_plan
 
@@ -475,6 +475,26 @@ def auc_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- quoted text -------------------------------------------------------------------------------------------------
+
+
+@query(
+    over_credit(
+        """SELECT application_id, CASE WHEN application_id % 41 <> 0 THEN loan_intent END AS loan_intent,
+  'said "' || loan_intent || '", then' || chr(10) || CAST(application_id AS VARCHAR) AS note FROM credit"""
+    )
+)
+def csv_dirty_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes, commas, line breaks and missing markers, exported and read back."""
+    key, intent = F.col(KEY), F.col("loan_intent")
+    note = F.concat(F.lit('said "'), intent, F.lit('", then\n'), key.cast("string"))
+    rows = credit(spark, sf_dir, [KEY, "loan_intent"]).select(
+        KEY, F.when(key % 41 == 0, "NA").otherwise(intent).alias("loan_intent"), note.alias("note")
+    )
+    path = export_csv(rows, scratch_path(spark, "quoted"))
+    return read_text(spark, path, multiline=True).withColumn(KEY, key.cast("bigint"))
+
+
 # --- splits ------------------------------------------------------------------------------------------------------
 
 
