@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LABEL
+from ..session import written
 from .quantiles import exact_quantiles
 
 
@@ -73,8 +74,9 @@ def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def summary_quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Minimum, quartiles, mean and maximum of each column."""
-    quartiles = exact_quantiles(melt(df, columns), "value", ["feature"], [0.25, 0.5, 0.75])
+    """Minimum, quartiles, mean and maximum of each column. The columns are written once for the passes over them."""
+    narrow = written(df.select(*dict.fromkeys(columns)), "quartiles")
+    quartiles = exact_quantiles(melt(narrow, columns), "value", ["feature"], [0.25, 0.5, 0.75])
     q1, median, q3 = (F.get("q", F.lit(i)) for i in range(3))
     return quartiles.select("feature", "min", q1.alias("q1"), median.alias("median"), "mean", q3.alias("q3"), "max")
 
@@ -125,8 +127,11 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 def box_stats(df: DataFrame, columns: Sequence[str], by: str = LABEL) -> DataFrame:
     """Box-plot statistics of each column per value of ``by``: quartiles, whiskers at 1.5 IQR and outliers.
+
+    The columns are written once for the passes over them.
     """
-    long = melt(df, columns, keep=[by]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    narrow = written(df.select(*dict.fromkeys([by, *columns])), "box")
+    long = melt(narrow, columns, keep=[by]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     quartiles = exact_quantiles(long, "value", [by, "feature"], [0.25, 0.5, 0.75])
     q1, median, q3 = (F.get("q", F.lit(i)) for i in range(3))
     fence = 1.5 * (q3 - q1)

@@ -22,6 +22,7 @@ from ..operators.profile import melt
 from ..operators.quantiles import exact_quantiles
 from ..operators.validation import label_frame
 from ..schema import CATEGORICAL, IMPUTED, LABEL
+from ..session import written
 
 SEED = 123
 
@@ -60,7 +61,7 @@ TUNED = ForestParams(num_trees=100, max_depth=10, impurity="entropy")
 
 def exact_medians(df: DataFrame) -> dict[str, float]:
     """The middle observed value of each imputed column, exact at any size."""
-    rows = exact_quantiles(melt(df, IMPUTED), "value", ["feature"], [0.5], interpolate=False).collect()
+    rows = exact_quantiles(melt(written(df.select(*IMPUTED), "medians"), IMPUTED), "value", ["feature"], [0.5], interpolate=False).collect()
     medians = {r["feature"]: r["q"][0] for r in rows}
     if empty := set(IMPUTED) - set(medians):
         raise ValueError(f"no value to impute from in {sorted(empty)}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -38,3 +38,11 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     return f"{tempfile.mkdtemp(prefix='loanweave-')}/{name}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """A narrow table written to the shared folder and read back: what lies below it runs once, however many passes
+    follow."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
