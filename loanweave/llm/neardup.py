@@ -39,7 +39,7 @@ SEED = 20_011
 
 # The longer signature: coordinates, 16 of which share a number; and how many standard deviations below the expected
 # count of a pair at the threshold a count may lie.
-SKETCH = 512
+SKETCH = 1024
 PER_NUMBER = 16
 FIRST = 8  # numbers that are looked at first
 DEVIATIONS = 4
