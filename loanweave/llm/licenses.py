@@ -2,8 +2,13 @@
 
 A text is cut into sentences, each is normalised (lower case, anything but letters and digits to one space) and looked
 up among known licence sentences; the identifiers found, in text order, are matched against the rules in their order.
-A rule consumes what it matches, so a longer rule that comes first wins over the shorter ones inside it. A line break
-ends a sentence; one that is wrapped over several lines is not recognised.
+A rule consumes what it matches, so a longer rule that comes first wins over the shorter ones inside it.
+
+A mark ends a sentence, a line break may or may not: at each place the longest known sentence is taken that begins and
+ends at a mark or line break, with any line breaks, blank lines, comment signs (``*``, ``#``, ``//``) inside it. So one
+that stands on a line of its own is found, and so is one that is wrapped over several. A list number may precede it.
+``SENTENCES``, ``RULES`` and ``ENDS`` are the part that SQL compares, line by line; ``WORDINGS`` and ``MORE_RULES``
+come on top.
 
 Edge cases: a null or empty text has no sentence and no licence; repeated rows are scanned one by one; a null
 ``doc_id`` is reported like any other; further columns are kept untouched. All of it is one projection, without a
@@ -100,6 +105,37 @@ RULES = (
     ("CC0-1.0", ("cc0",)),
 )
 
+# Further wordings of sentences above, and sentences of ``MORE_RULES``.
+WORDINGS = (
+    ("apache-head", 'The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not '
+    "use this file except in compliance with the License"),
+    ("apache-copy", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-copy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.html"),
+    ("apache-copy", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0.html"),
+    ("apache-copy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0.txt"),
+    ("apache-copy", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0.txt"),
+    ("mit-name", "MIT License"),
+    ("mit-name", "The MIT License (MIT)"),
+    ("mit-name", "MIT License (MIT)"),
+    ("mit-keep", "The above copyright notice and this permission notice (including the next paragraph) shall be included "
+    "in all copies or substantial portions of the Software"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is "
+    "hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mpl-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at "
+    "https://mozilla.org/MPL/2.0/"),
+    ("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+    "General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+    "option) any later version"),
+)
+
+MORE_RULES = (
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-see")),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+)
+
+# The BSD sentence names an organisation or a person in place of the copyright holder.
+NAMED = ("neither the name of ", "the copyright holder", " nor the names of its contributors ")
+
 # A sentence ends at a line break, or at a mark followed by white space or the end.
 ENDS = r"[.!?]+([ \t\r]+|$)|[.!?]*[ \t\r]*\n"
 OTHER = "[^a-z0-9]+"
@@ -114,18 +150,45 @@ def known_sentences() -> dict[str, str]:
     return {normal(text): name for name, text in SENTENCES.items()}
 
 
+def all_sentences() -> dict[str, str]:
+    """Normal form -> identifier, with the further wordings."""
+    return known_sentences() | {normal(text): name for name, text in WORDINGS}
+
+
+# In lower case no capital is left, so M stands for a mark and N for a line break.
+MARK = r"[.!?]+(?:[ \t\r]+|$)|[.!?]+[ \t\r]*\n"
+LIST_NUMBER = "(?:(?:[0-9]{1,2}|[a-z]) )?"
+
+
+def sentence_pattern() -> str:
+    """Any known sentence between marks or line breaks, the longest first, with line breaks inside."""
+    wrapped = lambda s: s.replace(" ", "[ N]")
+    before, holder, after = map(wrapped, NAMED)
+    named = f"{before}(?:[a-z0-9]+[ MN]){{0,15}}?[a-z0-9]+{after.replace('names', 'names?')}".replace("[ N]nor", "[ MN]nor")
+    options = [wrapped(s).replace(before + holder + after, named) for s in sorted(all_sentences(), key=len, reverse=True)]
+    return f"(?<=[MN]){LIST_NUMBER}({'|'.join(options)})(?=[MN])"
+
+
 def code(name: str) -> str:
     return f"<{name}>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Append ``sentence_ids`` (identifiers in text order), ``licenses`` (one per match, in rule order)."""
-    table = F.create_map(*[F.lit(v) for pair in known_sentences().items() for v in pair])
-    cut = F.split(F.coalesce(F.col("text"), F.lit("")), ENDS, -1)
-    normal_form = lambda s: F.btrim(F.regexp_replace(F.lower(s), OTHER, " "), F.lit(" "))
-    found = F.filter(F.transform(cut, lambda s: F.try_element_at(table, normal_form(s))), lambda i: i.isNotNull())
+    table = F.create_map(*[F.lit(v) for pair in all_sentences().items() for v in pair])
+    marked = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), MARK, "M")
+    words = F.concat(F.lit("M"), F.regexp_replace(F.replace(marked, F.lit("\n"), F.lit("N")), "[^a-z0-9MN]+", " "), F.lit("M"))
+    tidy = F.regexp_replace(F.regexp_replace(words, "[ N]*M[ MN]*", "M"), " ?N[ N]*", "N")
+    before, holder, after = NAMED
+    any_name = f"^{before}.*{after.replace('names', 'names?')}"
+
+    def identify(sentence: Column) -> Column:
+        plain = F.translate(sentence, "MN", "  ")
+        return F.try_element_at(table, F.regexp_replace(plain, any_name, before + holder + after))
+
+    found = F.transform(F.regexp_extract_all(tidy, F.lit(sentence_pattern()), F.lit(1)), identify)
     rules = F.array(
-        *[F.struct(F.lit(n).alias("name"), F.lit("".join(map(code, ids))).alias("ids")) for n, ids in RULES]
+        *[F.struct(F.lit(n).alias("name"), F.lit("".join(map(code, ids))).alias("ids")) for n, ids in RULES + MORE_RULES]
     )
     sequence = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     start = F.struct(sequence.alias("rest"), F.array().cast("array<string>").alias("names"))
