@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import saved, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -119,19 +119,53 @@ def _words_taken(demand: DataFrame, whole: bool) -> DataFrame:
     return demand.withColumns({"rounds": rounds, "taken": rounds * F.col("size") + part})
 
 
+def _placed(demand: DataFrame, whole: bool, schedules: Sequence[Sequence[float]]) -> DataFrame:
+    """A row per use of a document: ``use``, the ``words`` it gives and its ``position``, not yet sorted."""
+    taken = _words_taken(demand, whole)
+    uses = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    shapes = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in schedules])
+    shape = F.element_at(shapes, (F.col("place") % len(schedules) + 1).cast("int"))
+    return (
+        taken.withColumn("use", F.explode(F.when(uses > 0, F.sequence(F.lit(0), uses - 1)).otherwise(F.array())))
+        .withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("use") * F.col("size")))
+        .withColumn("_due", F.col("use") * F.col("source_size") + F.col("before"))
+        .withColumn("_part", F.least(F.col("_due") / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0)))
+        .withColumn("position", due_time(F.col("_part"), shape))
+        .drop("_due", "_part")
+    )
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = WEIGHTS,
     share: float = SHARE,
     most: int = MOST,
     whole: bool = False,
+    schedules: Sequence[Sequence[float]] = SCHEDULES,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Documents with ``size``, ``source_size``, ``target`` and ``taken``, the words the mix takes of each.
+    """Documents with ``size``, ``source_size``, ``target``, ``taken``, ``uses`` and ``first_position``.
 
-    With ``whole`` false the last document of a source is taken in part, so that a source's words come within one of
-    its target; otherwise each document is taken whole or not.
+    The training order of all uses is built and written to the shared folder, sorted by position; ``taken``, the words
+    the mix takes of a document, ``uses`` and the position of the first one (null without a use) are read from it.
+    With ``whole`` false the last document of a source is used in part, so that a source's words come within one of
+    its target; otherwise each document is used whole or not. ``keep`` lists the input
+    columns that come (all by default), so that texts need not be written.
     """
-    return _words_taken(_demand(docs, weights, share, most), whole).drop("before", "place", "rounds")
+    found = ("size", "source_size", "target", "place", "before")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in found]
+    # Ids may repeat or be null: each row is written with a key of its own. It goes by partition, and thus not into results.
+    keyed = _demand(docs, weights, share, most).select(*dict.fromkeys(["doc_id", *kept, *found]))
+    demand = saved(keyed.withColumn("_row", F.monotonically_increasing_id()), "mix-demand")
+    order = _placed(demand.select("_row", "doc_id", *found), whole, schedules).select("_row", "doc_id", "use", "words", "position")
+    order = saved(order.orderBy("position", "doc_id", "use"), "mix-order")
+    used = order.groupBy("_row").agg(
+        F.sum("words").alias("taken"), F.count("*").alias("uses"), F.min("position").alias("first_position")
+    )
+    summed = demand.join(used, "_row", "left").withColumns(
+        {"taken": F.coalesce("taken", F.lit(0)).cast("bigint"), "uses": F.coalesce("uses", F.lit(0)).cast("bigint")}
+    )
+    return summed.select(*kept, "size", "source_size", "target", "taken", "uses", "first_position")
 
 
 def curriculum(
@@ -140,18 +174,11 @@ def curriculum(
     share: float = SHARE,
     most: int = MOST,
     schedules: Sequence[Sequence[float]] = SCHEDULES,
+    whole: bool = True,
 ) -> DataFrame:
     """The mix as a training order: a row per use of a document, with ``use`` (0, 1, ...) and ``position`` (0 to 1),
-    range-sorted by position. Documents are used whole."""
-    taken = _words_taken(_demand(docs, weights, share, most), whole=True)
-    uses = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    shapes = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in schedules])
-    shape = F.element_at(shapes, (F.col("place") % len(schedules) + 1).cast("int"))
-    placed = (
-        taken.withColumn("use", F.explode(F.when(uses > 0, F.sequence(F.lit(0), uses - 1)).otherwise(F.array())))
-        .withColumn("_due", F.col("use") * F.col("source_size") + F.col("before"))
-        .withColumn("_part", F.least(F.col("_due") / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0)))
-        .withColumn("position", due_time(F.col("_part"), shape))
-    )
-    kept = [*docs.columns, "use", "position"]
+    range-sorted by position. Documents are used whole; with ``whole`` false the last use in a source may give only the
+    first ``words`` of its document, a further column."""
+    placed = _placed(_demand(docs, weights, share, most), whole, schedules)
+    kept = [*docs.columns, "use", "position", *([] if whole else ["words"])]
     return placed.select(*kept).orderBy("position", "doc_id", "use")

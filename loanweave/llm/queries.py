@@ -29,7 +29,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
