@@ -33,15 +33,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, and every document without a near copy."""
-    found = neardup.near_duplicates(docs)
-    kept = saved(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    ids = lambda rows: kept.filter(rows).select("doc_id").hint("shuffle_hash")
-    once = docs.select(*COLUMNS).join(ids("n = 1"), "doc_id", "left_semi")
-    # Rows that share an id are one document: any of them stays, and only these few are compared.
-    again = docs.select(*COLUMNS).join(ids("n > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.select(*COLUMNS).filter("doc_id is null")
-    return once.unionByName(again).unionByName(nameless).select(*COLUMNS)
+    """Keep one row of each group of near copies, that of the smallest id, and every row without a near copy.
+
+    Ids may repeat or be null, so rows are told apart by a key that is written with them.
+    """
+    keyed = saved(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = neardup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"))
+    place = F.struct(
+        F.col("doc_id").isNull().alias("nameless"), "doc_id", F.md5("text").alias("digest"), "source", "lang", "n_chars", "_row"
+    )
+    places = keyed.select("_row", place.alias("place"))
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(places, "_row").groupBy("component_id")
+    kept = groups.agg(F.min("place").alias("place")).select("place._row")
+    return keyed.join(kept.hint("shuffle_hash"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
