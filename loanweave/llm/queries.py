@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, itq, langid, licenses, linededup, mixing, neardup, packing, quality, trietokens
+from . import (
+    balltree,
+    hardneg,
+    itq,
+    langid,
+    licenses,
+    linededup,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    toxicity,
+    trietokens,
+    whitening,
+)
 from .common import fold, read
-from .sql import LICENSE_SQL, LINES_SQL, MIX_SQL, TOP_K_SQL
+from .sql import HARD_NEGATIVES_SQL, LICENSE_SQL, LINES_SQL, MIX_SQL, TOP_K_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,11 +81,31 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    # Beyond a long, which takes some ten million rows, the deviation is held at the largest one.
+    deviation = F.least("deviation", F.lit(2**63 - 1).cast("decimal(38,0)")).cast("bigint")
+    return found.withColumn("deviation", deviation)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT, F.lit(False))
+    predicted = (F.col("score") >= toxicity.CUT).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
         op1_language_id, op2_packing, op3_near_dedup, op4_mixing, op5_line_dedup, op6_embedding_dedup, op7_token_counts,
-        op8_top_k, op9_quality, op10_licenses,
+        op8_top_k, op9_quality, op10_licenses, op11_whitening, op12_toxicity, op13_hard_negatives,
     )
 }
 
@@ -80,4 +114,5 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": LINES_SQL,
     "op8_top_k": TOP_K_SQL,
     "op10_licenses": LICENSE_SQL,
+    "op13_hard_negatives": HARD_NEGATIVES_SQL,
 }
