@@ -33,7 +33,7 @@ HELD_OUT, FOLDS = 0, 5
 CUT = 0.5
 SAMPLE = {0: 6144, 1: 4096}  # rows of each label, at most
 LONGEST = 20_000  # characters of a text to learn from
-WINDOW = 4  # words
+WINDOW = 2  # words
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
 DIMENSIONS = 16

@@ -20,7 +20,7 @@ def test_equals_oracle(spark, name):
 
 
 def test_each_operator_is_registered_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14))
 
 
 def test_held_out_accuracy(spark):
