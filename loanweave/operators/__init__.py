@@ -1,4 +1,4 @@
-from .evaluation import auc, auc_evaluator, confusion, join_truth, regression_metrics
+from .evaluation import auc, auc_by_group, auc_evaluator, confusion, join_truth, regression_metrics
 from .filters import FilterSpec, apply_filters, drop_outliers, predicate
 from .kpis import default_rate, portfolio_kpis
 from .profile import (
@@ -34,7 +34,7 @@ from .validation import (
 )
 
 __all__ = [
-    "FilterSpec", "apply_filters", "auc", "auc_evaluator", "bounds", "box_stats", "check_columns", "confusion",
+    "FilterSpec", "apply_filters", "auc", "auc_by_group", "auc_evaluator", "bounds", "box_stats", "check_columns", "confusion",
     "counts", "default_rate", "describe_numeric", "describe_text", "distinct_values", "drop_outliers", "exact_quantiles",
     "first_rows", "histogram", "is_compatible", "is_train", "join_truth", "label_frame", "level_counts",
     "nonnumeric_counts", "portfolio_kpis", "predicate", "regression_metrics", "sample_n", "schema_report", "split",

@@ -24,6 +24,7 @@ UNKNOWN_CATEGORY = "categorie_inconnue"
 MISSING_VALUE = "valeur_manquante"
 ERRORS = (MISSING_COLUMN, BAD_NUMBER, UNKNOWN_CATEGORY)
 
+TALLY_SCHEMA = "kind string, column_name string, value string, n bigint"
 REPORT_SCHEMA = "level string, kind string, column_name string, value string, allowed string, n bigint"
 NEEDED = tuple(c for c in CONTRACT if c not in IMPUTED and c not in NOT_A_FEATURE)
 
@@ -41,13 +42,13 @@ def check_columns(columns: Sequence[str], key: str | None = None) -> ColumnCheck
     return ColumnCheck([c for c in CONTRACT if c not in columns], [c for c in columns if c not in allowed])
 
 
-def _as_text(df: DataFrame, column: str) -> Column:
+def as_text(df: DataFrame, column: str) -> Column:
     """A column as text, NaN as missing."""
     floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
     return (nan_to_null(F.col(column)) if floating else F.col(column)).cast("string")
 
 
-def _bad(df: DataFrame, column: str) -> Column:
+def is_bad(df: DataFrame, column: str) -> Column:
     """Present but not a number; never so in a column that is numeric by type."""
     numeric = isinstance(df.schema[column].dataType, T.NumericType)
     return F.lit(False) if numeric else is_bad_number(F.col(column).cast("string"))
@@ -55,7 +56,7 @@ def _bad(df: DataFrame, column: str) -> Column:
 
 def nonnumeric_counts(df: DataFrame, columns: Sequence[str] = NUMERIC) -> DataFrame:
     """Values per column that are present but not numbers."""
-    bad = df.agg(*[F.count(F.when(_bad(df, c), 1)).alias(c) for c in columns])
+    bad = df.agg(*[F.count(F.when(is_bad(df, c), 1)).alias(c) for c in columns])
     return bad.unpivot([], list(columns), "column_name", "n_bad")
 
 
@@ -78,7 +79,7 @@ def unknown_categories(df: DataFrame, dictionary: DataFrame, columns: Sequence[s
     )
 
 
-def _listed(values: Sequence[str]) -> Column:
+def listed(values: Sequence[str]) -> Column:
     return F.lit(", ".join(sorted(map(str, values))))
 
 
@@ -90,17 +91,28 @@ def validate(df: DataFrame, labels: Mapping[str, Sequence[str]], key: str | None
     ``n`` counts rows, or is 1 for a finding about the schema. Every unknown value has its own row. A category column
     without learned labels is not checked.
     """
-    spark = df.sparkSession
     columns = check_columns(df.columns, key)
     if columns.missing:
-        verdict = df.agg(
-            F.lit("verdict").alias("level"), F.lit("incompatible").alias("kind"),
-            F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("value"),
-            F.lit(None).cast("string").alias("allowed"), F.count("*").alias("n"),
-        )
-        rows = [("error", MISSING_COLUMN, c, None, ", ".join(CONTRACT), 1) for c in columns.missing]
-        found = spark.createDataFrame(rows, REPORT_SCHEMA)
-        return found.unionByName(verdict)
+        return missing_columns_report(df.sparkSession, columns, df.agg(F.count("*").alias("n")))
+    return report_of(fault_tally(df, labels), labels, columns)
+
+
+def missing_columns_report(spark: SparkSession, columns: ColumnCheck, rows: DataFrame) -> DataFrame:
+    """The findings about a table that lacks columns; ``rows`` has its row count as ``n``."""
+    none = F.lit(None).cast("string")
+    verdict = rows.select(
+        F.lit("verdict").alias("level"), F.lit("incompatible").alias("kind"), none.alias("column_name"),
+        none.alias("value"), none.alias("allowed"), "n",
+    )
+    found = [("error", MISSING_COLUMN, c, None, ", ".join(CONTRACT), 1) for c in columns.missing]
+    return spark.createDataFrame(found, REPORT_SCHEMA).unionByName(verdict)
+
+
+def fault_tally(df: DataFrame, labels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(kind, column_name, value, n): how often each fault occurs, and under the kind ``row`` how many rows there are.
+
+    Tallies of parts of a table add up to the tally of the whole.
+    """
 
     def item(kind: str, column: str | None, when, value=None):
         fields = F.struct(
@@ -109,9 +121,9 @@ def validate(df: DataFrame, labels: Mapping[str, Sequence[str]], key: str | None
         )
         return F.when(when, fields)
 
-    text = {c: _as_text(df, c) for c in CONTRACT}
+    text = {c: as_text(df, c) for c in CONTRACT}
     items = [item("row", None, F.lit(True))]
-    items += [item(BAD_NUMBER, c, _bad(df, c)) for c in NUMERIC]
+    items += [item(BAD_NUMBER, c, is_bad(df, c)) for c in NUMERIC]
     items += [item(MISSING_VALUE, c, text[c].isNull()) for c in NEEDED]
     items += [
         item(UNKNOWN_CATEGORY, c, ~text[c].isin([str(v) for v in labels[c]]), text[c])
@@ -119,12 +131,17 @@ def validate(df: DataFrame, labels: Mapping[str, Sequence[str]], key: str | None
         if labels.get(c)
     ]
     # Empty items are dropped after the explode, which compiles; array_compact would be interpreted row by row.
-    tally = (
+    return (
         df.select(F.explode(F.array(*items)).alias("item"))
         .filter(F.col("item").isNotNull())
         .groupBy("item.kind", "item.column_name", "item.value")
         .agg(F.count("*").alias("n"))
     )
+
+
+def report_of(tally: DataFrame, labels: Mapping[str, Sequence[str]], columns: ColumnCheck) -> DataFrame:
+    """The report that a tally of faults amounts to."""
+    spark = tally.sparkSession
     # Findings and verdict come from one further tally of the few entries, so the rows are looked at once.
     kind, is_error, none, zero = F.col("kind"), F.col("kind").isin(*ERRORS), F.lit(None).cast("string"), F.lit(0).cast("bigint")
     finding = F.struct(
@@ -147,7 +164,7 @@ def validate(df: DataFrame, labels: Mapping[str, Sequence[str]], key: str | None
         .agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"))
     )
     known = [
-        F.when((kind == UNKNOWN_CATEGORY) & (F.col("column_name") == c), _listed(labels[c])) for c in CATEGORICAL if labels.get(c)
+        F.when((kind == UNKNOWN_CATEGORY) & (F.col("column_name") == c), listed(labels[c])) for c in CATEGORICAL if labels.get(c)
     ]
     verdict = F.when(F.col("errors") == 0, "compatible").otherwise("incompatible")
     report = summed.select(

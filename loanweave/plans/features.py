@@ -74,11 +74,31 @@ def median_filler(medians: Mapping[str, float]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
 
 
+def label_indexer() -> StringIndexer:
+    """Labels by falling frequency, ties by name; one stage, so that all categories are counted in one pass."""
+    return StringIndexer(
+        inputCols=list(CATEGORICAL),
+        outputCols=[INDEXED_NAMES[c] for c in CATEGORICAL],
+        stringOrderType="frequencyDesc",
+        handleInvalid="error",
+    )
+
+
+def label_encoder() -> OneHotEncoder:
+    return OneHotEncoder(
+        inputCols=[INDEXED_NAMES[c] for c in CATEGORICAL], outputCols=[ENCODED_NAMES[c] for c in CATEGORICAL], dropLast=True
+    )
+
+
+def fit_labels(df: DataFrame) -> PipelineModel:
+    """The label indexer alone: all that validation needs of a model, from three columns."""
+    return Pipeline(stages=[label_indexer()]).fit(df.select(*CATEGORICAL))
+
+
 def feature_stages(relative_error: float = 0.001, medians: Mapping[str, float] | None = None) -> list:
     """Median imputation, label indexing, one-hot encoding, assembly and scaling.
 
-    The medians are sketched with a rank error of at most ``relative_error``, unless given. One indexer covers all
-    categories, so that they are counted in a single pass over the data.
+    The medians are sketched with a rank error of at most ``relative_error``, unless given.
     """
     if medians is None:
         imputation = Imputer(
@@ -91,17 +111,8 @@ def feature_stages(relative_error: float = 0.001, medians: Mapping[str, float] |
         imputation = median_filler(medians)
     return [
         imputation,
-        StringIndexer(
-            inputCols=list(CATEGORICAL),
-            outputCols=[INDEXED_NAMES[c] for c in CATEGORICAL],
-            stringOrderType="frequencyDesc",
-            handleInvalid="error",
-        ),
-        OneHotEncoder(
-            inputCols=[INDEXED_NAMES[c] for c in CATEGORICAL],
-            outputCols=[ENCODED_NAMES[c] for c in CATEGORICAL],
-            dropLast=True,
-        ),
+        label_indexer(),
+        label_encoder(),
         VectorAssembler(inputCols=list(MODEL_INPUTS), outputCol="features", handleInvalid="error"),
         StandardScaler(inputCol="features", outputCol="features_scaler", withMean=False, withStd=True),
     ]

@@ -7,18 +7,18 @@ from operator import add
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ALERT_POLICY, REVIEW_POLICY, separate_vector
-from ..operators import auc, confusion, is_train, label_frame, split
+from ..operators import auc, auc_by_group, confusion, is_train, label_frame, split
 from ..operators import nonnumeric_counts as count_nonnumeric
 from ..operators import regression_metrics as metrics_of
 from ..operators import stratified_split as split_strata
 from ..operators import unknown_categories as find_unknown
 from ..operators import validate
 from ..schema import CATEGORICAL, CONTRACT, IMPUTED, KEY, LABEL, NUMERIC
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import credit, credit_dirty, export_csv, table
 from ..streaming import read_stream, score_stream
 from .catalog import BUCKET_SQL, over_credit, over_dirty, query
@@ -28,17 +28,20 @@ from .features import (
     INDEXED_NAMES,
     exact_medians,
     feature_stages,
+    fit_labels,
     label_dictionary,
+    label_encoder,
+    label_indexer,
     label_table,
+    median_filler,
 )
 from .scoring import score, score_applicants, score_summary
 from .training import coefficients, fit_linear, fit_tree, load, persisted, predict_tree, save, train
-from .tuning import grid, tune
+from .tuning import tune
 
-def feature_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
-    """The feature stages fitted on the whole table, with exact medians."""
-    with persisted(credit(spark, sf_dir, [KEY, *CONTRACT])) as rows:
-        return Pipeline(stages=feature_stages(medians=exact_medians(rows))).fit(rows)
+def label_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    """The label indexer fitted on the whole table; line items are not read."""
+    return fit_labels(credit(spark, sf_dir, CATEGORICAL))
 
 
 def forest_model(spark: SparkSession, sf_dir: str) -> PipelineModel:
@@ -51,7 +54,15 @@ def held_out_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_model(spark, sf_dir).transform(credit(spark, sf_dir))
+    """All feature stages, with exact medians; the table is derived once for the fit and for the rows."""
+    rows = written(credit(spark, sf_dir, [KEY, *CONTRACT]), "contract")
+    return Pipeline(stages=feature_stages(medians=exact_medians(rows))).fit(rows).transform(rows)
+
+
+def labelled(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+    """The stages that only need the categories."""
+    rows = written(credit(spark, sf_dir, [KEY, *CATEGORICAL]), "categories")
+    return Pipeline(stages=stages).fit(rows).transform(rows)
 
 
 # --- feature stages ----------------------------------------------------------------------------------------------
@@ -90,7 +101,8 @@ vec AS (SELECT application_id, {", ".join(f"{e} AS f{i}" for i, e in enumerate(_
 
 @query(over_credit(f"SELECT application_id, {_IMPUTED_SQL} FROM credit"))
 def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select(KEY, *IMPUTED_NAMES.values())
+    rows = written(credit(spark, sf_dir, [KEY, *IMPUTED]), "to-impute")
+    return median_filler(exact_medians(rows)).transform(rows).select(KEY, *IMPUTED_NAMES.values())
 
 
 @query(
@@ -100,7 +112,8 @@ def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def index_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(spark, sf_dir).select(KEY, *[F.col(c).cast("int").alias(c) for c in INDEXED_NAMES.values()])
+    indexed = labelled(spark, sf_dir, [label_indexer()])
+    return indexed.select(KEY, *[F.col(c).cast("int").alias(c) for c in INDEXED_NAMES.values()])
 
 
 def _hot_names(column: str) -> list[str]:
@@ -115,7 +128,7 @@ def _hot_names(column: str) -> list[str]:
     )
 )
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = features(spark, sf_dir)
+    df = labelled(spark, sf_dir, [label_indexer(), label_encoder()])
     for c in CATEGORICAL:
         df = separate_vector(df, ENCODED_NAMES[c], _hot_names(c))
     return df.select(KEY, *[n for c in CATEGORICAL for n in _hot_names(c)])
@@ -149,7 +162,7 @@ def scale_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     name="label_dictionary",
 )
 def label_dictionary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_table(feature_model(spark, sf_dir), spark)
+    return label_table(label_model(spark, sf_dir), spark)
 
 
 # --- regression --------------------------------------------------------------------------------------------------
@@ -314,21 +327,6 @@ def score_applicant(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _rank_sum_area(scored: DataFrame) -> DataFrame:
-    """Area under ROC (one row) from ranks: the share of (default, other) pairs in the right order, ties half. Scores are
-    tallied, then ranked within a thousand bands of the probability, whose totals are added up separately."""
-    tally = scored.groupBy("p").agg(F.sum(LABEL).alias("pos"), F.sum(1 - F.col(LABEL)).alias("neg"))
-    tally = tally.withColumn("band", F.floor(F.col("p") * 1000))
-    inner = Window.partitionBy("band").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # at most 1001 rows
-    before = F.coalesce(F.sum("neg").over(inner), F.lit(0))
-    own = tally.withColumn("right", F.col("pos") * (before + F.col("neg") / 2))
-    bands = own.groupBy("band").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "right")])
-    right = F.col("right") + F.col("pos") * F.coalesce(F.sum("neg").over(outer), F.lit(0))
-    totals = bands.select("pos", "neg", right.alias("right")).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "right")])
-    return totals.select("pos", "neg", (F.col("right") / (F.col("pos") * F.col("neg"))).alias("area"))
-
-
 @query(
     over_credit(
         "SELECT CAST(SUM(loan_status) AS BIGINT) AS n_default, CAST(SUM(1 - loan_status) AS BIGINT) AS n_other, "
@@ -339,9 +337,9 @@ def auc_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, _ = score(forest_model(spark, sf_dir), held_out_part(spark, sf_dir))
     with persisted(scored.select(F.col("probability_default").alias("p"), LABEL)) as rows:
         evaluated = auc(rows, "p")
-    return _rank_sum_area(scored.withColumn("p", F.col("probability_default"))).select(
-        F.col("pos").alias("n_default"),
-        F.col("neg").alias("n_other"),
+    return auc_by_group(scored, [], "probability_default").select(
+        F.col("n_pos").alias("n_default"),
+        F.col("n_neg").alias("n_other"),
         F.abs(F.round(F.col("area") - evaluated, 9)).alias("difference"),
         (F.col("area") > 0.5).alias("beats_chance"),
     )
@@ -364,19 +362,15 @@ def batch_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def small_grid():
-    return grid(num_trees=(5, 10), max_depth=(3, 5), impurity=("gini",))
-
-
-# A small grid, as its SQL lists it; ``cv_search`` is the whole search.
+# Every grid point of the search, with an area over all folds.
 @query(
     over_credit(
-        "SELECT t.n AS num_trees, d.n AS max_depth, 'gini' AS impurity, TRUE AS is_area FROM (VALUES (5), (10)) t(n), "
-        "(VALUES (3), (5)) d(n)"
+        "SELECT t.n AS num_trees, d.n AS max_depth, i.k AS impurity, TRUE AS is_area FROM (VALUES (20), (50), (100)) t(n), "
+        "(VALUES (3), (5), (10)) d(n), (VALUES ('entropy'), ('gini')) i(k)"
     )
 )
 def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, metrics = tune(credit(spark, sf_dir).filter(is_train()), small_grid(), folds=2)
+    _, metrics = tune(credit(spark, sf_dir).filter(is_train()))
     return metrics.select(
         "num_trees", "max_depth", "impurity", F.col("area_under_roc").between(0.5, 1).alias("is_area")
     )
@@ -384,8 +378,18 @@ def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole search: the area under ROC of each of the 18 grid points over 5 folds, best first."""
-    return tune(credit(spark, sf_dir).filter(is_train()))[1]
+    """The whole search: the area under ROC of each of the 18 grid points over 5 folds, best first, and that of the best
+    one, refitted on all training rows, on the rows held out from the search."""
+    best, metrics = tune(credit(spark, sf_dir).filter(is_train()))
+    scored, _ = score(best, held_out_part(spark, sf_dir))
+    area = auc_by_group(scored, [], "probability_default").select("area").scalar()
+    forest = best.stages[-1]
+    is_best = (
+        (F.col("num_trees") == forest.getNumTrees)
+        & (F.col("max_depth") == forest.getMaxDepth())
+        & (F.col("impurity") == forest.getImpurity())
+    )
+    return metrics.withColumn("hold_out_area", F.when(is_best, area))
 
 
 # How many test rows there are, and that none differs.
@@ -467,48 +471,49 @@ def _unknown_sql(columns) -> str:
 
 @query(over_dirty(_unknown_sql(CATEGORICAL)))
 def unknown_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = label_dictionary(feature_model(spark, sf_dir))
+    labels = label_dictionary(label_model(spark, sf_dir))
     return find_unknown(credit_dirty(spark, sf_dir), label_frame(spark, labels))
 
 
 _NEEDED_SQL = [c for c in CONTRACT if c not in IMPUTED and c != "loan_percent_income"]
 
 
-@query(
-    over_dirty(
-        ", found AS ("
-        + " UNION ALL ".join(
-            [
-                f"SELECT 'error' AS level, 'type_incompatible' AS kind, '{c}' AS column_name, CAST(NULL AS VARCHAR) AS value, "
-                f"CAST(NULL AS VARCHAR) AS allowed, COUNT(*) AS n FROM credit_dirty "
-                f"WHERE {c} IS NOT NULL AND TRY_CAST(TRIM({c}) AS DOUBLE) IS NULL"
-                for c in NUMERIC
-            ]
-            + [
-                f"SELECT 'warning', 'valeur_manquante', '{c}', NULL, NULL, COUNT(*) FROM credit_dirty WHERE {c} IS NULL"
-                for c in _NEEDED_SQL
-            ]
-            + [
-                f"SELECT 'error', 'categorie_inconnue', column_name, value, "
-                f"(SELECT STRING_AGG(DISTINCT {c}, ', ' ORDER BY {c}) FROM credit), n FROM ({_unknown_sql([c])})"
-                for c in CATEGORICAL
-            ]
-        )
-        + """)
-SELECT * FROM found WHERE n > 0
+REPORT_CTE = (
+    ", found AS ("
+    + " UNION ALL ".join(
+        [
+            f"SELECT 'error' AS level, 'type_incompatible' AS kind, '{c}' AS column_name, CAST(NULL AS VARCHAR) AS value, "
+            f"CAST(NULL AS VARCHAR) AS allowed, COUNT(*) AS n FROM credit_dirty "
+            f"WHERE {c} IS NOT NULL AND TRY_CAST(TRIM({c}) AS DOUBLE) IS NULL"
+            for c in NUMERIC
+        ]
+        + [
+            f"SELECT 'warning', 'valeur_manquante', '{c}', NULL, NULL, COUNT(*) FROM credit_dirty WHERE {c} IS NULL"
+            for c in _NEEDED_SQL
+        ]
+        + [
+            f"SELECT 'error', 'categorie_inconnue', column_name, value, "
+            f"(SELECT STRING_AGG(DISTINCT {c}, ', ' ORDER BY {c}) FROM credit), n FROM ({_unknown_sql([c])})"
+            for c in CATEGORICAL
+        ]
+    )
+    + ")"
+)
+REPORT_SELECT = """SELECT * FROM found WHERE n > 0
 UNION ALL SELECT 'warning', 'colonnes_ignorées', 'note', NULL, NULL, 1
 UNION ALL SELECT 'verdict', (SELECT CASE WHEN COUNT(*) = 0 THEN 'compatible' ELSE 'incompatible' END
   FROM found WHERE level = 'error' AND n > 0), NULL, NULL, NULL, COUNT(*) FROM credit_dirty"""
-    )
-)
+
+
+@query(over_dirty(f"{REPORT_CTE}\n{REPORT_SELECT}"))
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(credit_dirty(spark, sf_dir), label_dictionary(feature_model(spark, sf_dir)), KEY)
+    return validate(credit_dirty(spark, sf_dir), label_dictionary(label_model(spark, sf_dir)), KEY)
 
 
 @query(over_credit("SELECT 'verdict' AS level, 'compatible' AS kind, CAST(NULL AS VARCHAR) AS column_name, "
                    "CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS allowed, COUNT(*) AS n FROM credit"))
 def validation_report_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(credit(spark, sf_dir), label_dictionary(feature_model(spark, sf_dir)), KEY)
+    return validate(credit(spark, sf_dir), label_dictionary(label_model(spark, sf_dir)), KEY)
 
 
 @query(
