@@ -49,6 +49,41 @@ def test_odd_rows(odd_documents):
     assert all(r["taken"] == 0 for r in got if r["size"] == 0)
 
 
+def test_clashing_names(documents):
+    rows = [(i, "w " * (i % 7 + 1), None, "ab"[i % 2]) for i in range(40)]
+    extra = ("place", "before", "key", "name", "run", "row", "words", "stretch", "range", "goes", "wide", "turn", "given", "is_text",
+             "twin1", "uid", "earlier", "inside", "text_hash", "weight", "limit", "level", "_row", "_name", "_key")
+    df = documents(rows).selectExpr("*", *[f"'{c}' AS {c}" for c in extra], "'mine' AS target", "'mine' AS source_size", "'mine' AS use")
+    plain, clashing = mix(documents(rows)), mix(df)
+    columns = ["doc_id", "size", "source_size", "target", "taken", "uses", "first_position"]
+    show = lambda d, c: sorted(map(tuple, d.select(*c).collect()))
+    assert show(plain, columns) == show(clashing, columns)
+    order = ["doc_id", "use", "position"]
+    assert show(curriculum(documents(rows)), order) == show(curriculum(df), order)
+    for found in (clashing, curriculum(df)):
+        assert all(found.filter(f"`{c}` <> '{c}' or `{c}` is null").isEmpty() for c in extra)
+    assert curriculum(df).filter("target <> 'mine'").isEmpty()
+
+
+@pytest.mark.parametrize("ranges", [3, 40])
+def test_a_hot_id_and_equal_rows_keep_their_uses(spark, documents, ranges):
+    """A third of the rows share an id, and half of these are equal in all columns."""
+    rows = [(i, "w " * (i % 5 + 1), None, "ab"[i % 2]) for i in range(120)]
+    rows += [(7, "hot words of one id", None, "a")] * 30 + [(7, f"hot words {i}", None, "a") for i in range(30)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        order = curriculum(documents(rows)).collect()
+        mixed = mix(documents(rows), whole=True).groupBy("doc_id", "text").agg(F.sum("uses").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r["position"] for r in order] == sorted(r["position"] for r in order)
+    uses = defaultdict(int)
+    for r in order:
+        uses[r["doc_id"], r["text"]] += 1
+    assert uses == {(r["doc_id"], r["text"]): r["n"] for r in mixed if r["n"]}
+
+
 def test_empty_table(documents):
     assert mix(documents([])).count() == 0
     assert curriculum(documents([])).count() == 0
