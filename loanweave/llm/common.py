@@ -35,9 +35,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def buckets_for(rows: int, per_bucket: int, most: int = 4096) -> int:
-    """How many hash buckets to deal ``rows`` over so that one holds about ``per_bucket``."""
-    return max(1, min(most, -(-rows // per_bucket)))
+def buckets_for(rows: int, per_bucket: int) -> int:
+    """How many hash buckets to deal ``rows`` over so that one holds about ``per_bucket``, at any number of rows."""
+    return max(1, -(-rows // per_bucket))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

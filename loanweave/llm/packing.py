@@ -153,14 +153,17 @@ def slots(chosen: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
     return out
 
 
-def ranked(table: DataFrame, per_bucket: int = 2000) -> DataFrame:
+def ranked(table: DataFrame, histogram: dict[int, int], per_bucket: int = 2000) -> DataFrame:
     """Append ``rank``, 0-based and gapless among the pieces of one length.
 
-    A frequent length is never ranked by one task: pieces are dealt over hash buckets, ranked in each, and shifted by
-    the running count of the buckets before.
+    A frequent length is never ranked by one task: its pieces are dealt over hash buckets, as many as its count asks for,
+    ranked in each, and shifted by the running count of the buckets before. ``histogram`` has at most as many lengths as a
+    sequence has tokens.
     """
-    n = buckets_for(table.count(), per_bucket)
-    dealt = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n)).cast("int"))
+    sizes = table.sparkSession.createDataFrame(
+        [(length, buckets_for(n, per_bucket)) for length, n in histogram.items()], "length bigint, buckets bigint"
+    )
+    dealt = table.join(sizes, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("buckets"))).drop("buckets")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("m"))
     shifts = counts.select("length", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("shift"))
@@ -177,7 +180,7 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer: str | None = None)
     """Pieces with ``sequence_id`` and ``offset``; the pieces of a sequence lie without gaps from 0.
 
     The slot table has at most ``seq_len`` lengths times the patterns that hold them, which depends on ``seq_len``
-    alone; it is found per piece by binary search in the ranges of its length.
+    alone; a piece looks through the ranges of its length for the one that holds its rank.
     """
     table = saved(pieces(docs, seq_len, tokenizer), "pieces")
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -191,7 +194,7 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer: str | None = None)
     at = F.col("place")
     holds = lambda p: (p["low"] <= F.col("rank")) & (F.col("rank") < p["low"] + p["ranks"])
     return (
-        ranked(table)
+        ranked(table, histogram)
         .join(by_length, "length")
         .withColumn("place", F.get(F.filter("places", holds), F.lit(0)))
         .select(
