@@ -3,7 +3,7 @@
 Texts become hashed counts of character 1- to 3-grams over letters and word borders. Document frequencies cover all
 training documents. The weights are learnt by follow-the-regularised-leader with an elastic net, whose first-order part
 leaves most weights at exactly zero, on a bounded sample of labelled rows: about ``SAMPLE`` of them, drawn by the hash of
-the id. Each round trains one learner per shard of the sample from the common state, then averages the states. A
+the id, evenly from each language, so that a rare one gives all its rows. Each round trains one learner per shard of the sample from the common state, then averages the states. A
 temperature, fitted on about ``CALIBRATION`` further rows that the weights have not seen, makes the scores calibrated.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; so is every text if no row has a label; rows
@@ -134,16 +134,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
     if not total:
         return None
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
-
-    def drawn(rows: DataFrame, n: int, part: float) -> DataFrame:
-        """About ``n`` of the rows, which are that part of all labelled ones."""
-        share = min(1.0, n / (total * part))
+    fits = fold(F.col("doc_id")) != CALIBRATES
+    counted = labelled.groupBy("lang", fits.alias("fits")).agg(F.count("*").alias("n")).collect()
+    languages = sorted({r["lang"] for r in counted})
+
+    def drawn(rows: DataFrame, of: bool, n: int) -> DataFrame:
+        """About ``n`` of the rows, as evenly from each language as it has them."""
+        have = {r["lang"]: r["n"] for r in counted if r["fits"] == of}
+        most = even_share(list(have.values()), n)
+        rates = {name: min(1.0, most / m) for name, m in have.items()}
         draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-        return rows.filter(draw < share)
+        all_of = [name for name, rate in rates.items() if rate == 1.0]
+        part_of = F.coalesce(F.lit(None).cast("double"), *[F.when(F.col("lang") == k, F.lit(r)) for k, r in rates.items() if r < 1.0])
+        return rows.filter(F.col("lang").isin(all_of) | F.coalesce(draw < part_of, F.lit(False)))
 
-    fits = fold(F.col("doc_id")) != CALIBRATES
-    learning = drawn(labelled.filter(fits), sample, 2 / 3)
+    learning = drawn(labelled.filter(fits), True, sample)
     place = {name: i for i, name in enumerate(languages)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +201,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -
             )
 
     checked = (
-        drawn(labelled.filter(~fits), calibration, 1 / 3).mapInArrow(score, "label int, logits array<double>").collect()
+        drawn(labelled.filter(~fits), False, calibration).mapInArrow(score, "label int, logits array<double>").collect()
     )
     return LanguageModel(languages, idf, model.weights, temperature_of(checked))
 
 
+def even_share(counts: list[int], total: int) -> float:
+    """The number at which each count is cut so that they sum up to ``total``; infinite if they do not reach it."""
+    left, counts = total, sorted(counts)
+    for i, n in enumerate(counts):
+        if n * (len(counts) - i) >= left:
+            return left / (len(counts) - i)
+        left -= n
+    return float("inf")
+
+
 def temperature_of(rows: list) -> float:
     """The temperature of least cross entropy, by golden-section search over its logarithm."""
     if not rows:

@@ -131,3 +131,18 @@ def test_license_rules_in_order(documents):
 def test_licenses_of_odd_tables(documents, odd_documents):
     assert licenses.scan(odd_documents).count() == 12
     assert licenses.scan(documents([])).count() == 0
+
+
+def test_the_sample_is_even_over_languages():
+    assert langid.even_share([1000, 1000], 500) == 250
+    assert langid.even_share([10, 1000, 1000], 510) == 250
+    assert langid.even_share([10, 20], 500) == float("inf")
+    assert langid.even_share([], 5) == float("inf")
+
+
+def test_a_rare_language_is_learnt(documents):
+    common = ["the house by the river is old and grey", "das alte haus steht am grossen fluss dort"]
+    rows = [(i, f"{common[i % 2]} {i % 17}", ("en", "de")[i % 2], "s") for i in range(1200)]
+    rows += [(5000 + i, f"vanha talo on joen rannalla tuolla noin {'abcdefgh'[i % 8]}", "fi", "s") for i in range(12)]
+    found = langid.identify(documents(rows), sample=300, calibration=150).filter("lang = 'fi'").collect()
+    assert {r["lang_pred"] for r in found} == {"fi"}
