@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanweave.llm.balltree import top_k
-from loanweave.llm.itq import learn, link_vectors
+from loanweave.llm.itq import CHECK_BITS, learn, link_vectors, rotations, tables_for, turn_at
 
 VEC = "vec_id bigint, embedding array<float>, label int"
 
@@ -64,14 +64,60 @@ def test_odd_vectors(spark):
     assert link_vectors(make(spark, [])).count() == 0
 
 
+def common_direction(seed, n, mean, dims=64, near=40):
+    """Unit vectors whose cosines are ``mean`` on average, and some close pairs among them."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal(dims)
+    base /= np.linalg.norm(base)
+    noise = rng.standard_normal((n, dims))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.sqrt(mean) * base + np.sqrt(1 - mean) * noise
+    for i in range(near):
+        x[2 * i + 1] = x[2 * i] + rng.standard_normal(dims) * 0.04
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("mean, most", [(0.0, 0.01), (0.5, 0.03), (0.8, 0.15)])
+def test_codes_are_balanced_and_buckets_small(mean, most):
+    x = common_direction(3, 4000, mean)
+    coder = learn(x, len(x))
+    bits = coder.bits(x)
+    share = bits.mean(axis=0)
+    assert ((share > 0.2) & (share < 0.8)).all()
+    pairs = 0
+    for i in range(coder.tables):
+        low = CHECK_BITS + i * coder.width
+        _, counts = np.unique(bits[:, low : low + coder.width] @ (1 << np.arange(coder.width)), return_counts=True)
+        pairs += (counts * (counts - 1) // 2).sum()
+    assert pairs < most * len(x) * (len(x) - 1) / 2
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.8])
+def test_recall_where_vectors_have_a_direction_in_common(spark, mean):
+    x = common_direction(5, 1000, mean)
+    linked = x.astype(np.float32).astype(np.float64)
+    linked /= np.linalg.norm(linked, axis=1, keepdims=True)
+    linked = linked @ linked.T >= 0.9
+    np.fill_diagonal(linked, False)
+    found = {r["vec_id"]: r["n_links"] for r in link_vectors(make(spark, list(enumerate(x.tolist())))).collect()}
+    assert all(found[i] <= n for i, n in enumerate(linked.sum(axis=1)))
+    assert sum(found.values()) >= 0.9 * linked.sum() > 0
+
+
 def test_rotation_is_orthogonal():
     x = np.random.default_rng(1).standard_normal((300, 16))
-    projection = learn(x, 40)
+    projection = rotations(x, 40, 7)
     first = projection[:, :16]
     assert np.allclose(first.T @ first, np.eye(16), atol=1e-8)
     assert projection.shape == (16, 40)
 
 
+def test_tables_follow_the_angle_at_the_centre():
+    assert turn_at(0.9, 1.0) == pytest.approx(np.arccos(0.9) / np.pi)
+    assert turn_at(0.9, 0.2) == pytest.approx(1 / 3) and turn_at(0.9, 0.0) == 0.5
+    assert tables_for(12, turn_at(0.9, 1.0)) < tables_for(12, turn_at(0.9, 0.5)) < tables_for(12, turn_at(0.9, 0.2))
+
+
 @pytest.mark.parametrize("shard_rows", [8192, 100])
 def test_top_k_equals_brute_force(spark, shard_rows):
     rows = groups(5, 700, 16) + [(1000 + i, [0.25] * 16) for i in range(60)]
