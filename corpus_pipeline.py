@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes e
 and reads it back as the next one's documents. All but the last return the columns of ``documents``.
 
 A column that a stage needs and that has another type is cast; null ids and texts pass every filter but the language
-stage, which rejects texts without a letter.
+stage, which rejects texts without a letter; of equal rows and of near copies the one of the smallest id stays, of those with
+one id an arbitrary but fixed one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
