@@ -73,8 +73,63 @@ SENTENCES = {
     "License",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
     "this work",
+    "cc-by-nd": "Licensed under CC BY-ND 4.0",
+    "cc-by-nc-sa": "Licensed under CC BY-NC-SA 4.0",
+    "cc-by-nc-nd": "Licensed under CC BY-NC-ND 4.0",
+    "cc-by-nd-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "cc-by-nc-sa-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+    "International License",
+    "cc-by-nc-nd-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+    "International License",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+    "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+    "(at your option) any later version",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+    "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "lgpl-see": "See the GNU Lesser General Public License for more details",
+    "lgpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    "Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+    "your option) any later version",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    "Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+    "your option) any later version",
+    "agpl-see": "See the GNU Affero General Public License for more details",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+    "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-any": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in "
+    "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial "
+    "applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+    'software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, '
+    "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit "
+    "third-parties to whom the Software is furnished to do so, all subject to the following",
+    "apache-title": "Version 2.0, January 2004",
+    "gpl-title": "GNU GENERAL PUBLIC LICENSE",
+    "lgpl-title": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "agpl-title": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "fsf-v2": "Version 2, June 1991",
+    "fsf-v21": "Version 2.1, February 1999",
+    "fsf-v3": "Version 3, 29 June 2007",
+    "agpl-v3": "Version 3, 19 November 2007",
+    "mpl-title": "Mozilla Public License Version 2.0",
 }
 
+# Short identifiers of public licences, as they stand behind "SPDX-License-Identifier:".
+SHORT_NAMES = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause",
+    "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0",
+    "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "Unlicense", "WTFPL",
+    "X11", "Zlib",
+)
+SENTENCES |= {f"spdx-{name.lower()}": f"SPDX-License-Identifier: {name}" for name in SHORT_NAMES}
+
 # Rules in order: a name and the sentence identifiers that make it, next to each other in the text's sequence.
 RULES = (
     ("Apache-2.0", ("apache-head", "apache-copy", "apache-as-is", "apache-see")),
@@ -103,6 +158,32 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-long",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-long",)),
     ("CC0-1.0", ("cc0",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-long",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-long",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-long",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "gpl-hope", "lgpl-see")),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope", "agpl-see")),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("Unlicense", ("unlicense-free", "unlicense-any")),
+    ("Unlicense", ("unlicense-free",)),
+    ("Zlib", ("zlib-as-is", "zlib-liable", "zlib-grant")),
+    ("BSL-1.0", ("boost-notice",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("Apache-2.0", ("apache-title",)),
+    ("GPL-2.0-only", ("gpl-title", "fsf-v2")),
+    ("GPL-3.0-only", ("gpl-title", "fsf-v3")),
+    ("LGPL-2.1-only", ("lgpl-title", "fsf-v21")),
+    ("LGPL-3.0-only", ("lgpl-title", "fsf-v3")),
+    ("AGPL-3.0-only", ("agpl-title", "agpl-v3")),
+    ("MPL-2.0", ("mpl-title",)),
+    *((name, (f"spdx-{name.lower()}",)) for name in SHORT_NAMES),
 )
 
 # Further wordings of sentences above, and sentences of ``MORE_RULES``.
@@ -155,6 +236,8 @@ def all_sentences() -> dict[str, str]:
     return known_sentences() | {normal(text): name for name, text in WORDINGS}
 
 
+SHORT = normal("SPDX-License-Identifier:") + " "
+
 # In lower case no capital is left, so M stands for a mark and N for a line break.
 MARK = r"[.!?]+(?:[ \t\r]+|$)|[.!?]+[ \t\r]*\n"
 LIST_NUMBER = "(?:(?:[0-9]{1,2}|[a-z]) )?"
@@ -165,7 +248,11 @@ def sentence_pattern() -> str:
     wrapped = lambda s: s.replace(" ", "[ N]")
     before, holder, after = map(wrapped, NAMED)
     named = f"{before}(?:[a-z0-9]+[ MN]){{0,15}}?[a-z0-9]+{after.replace('names', 'names?')}".replace("[ N]nor", "[ MN]nor")
-    options = [wrapped(s).replace(before + holder + after, named) for s in sorted(all_sentences(), key=len, reverse=True)]
+    known = sorted(all_sentences(), key=len, reverse=True)
+    options = [wrapped(s).replace(before + holder + after, named) for s in known if not s.startswith(SHORT)]
+    # One branch for all short names: most lines fail at its first letters.
+    names = "|".join(wrapped(s.removeprefix(SHORT)) for s in known if s.startswith(SHORT))
+    options.append(f"{wrapped(SHORT)}(?:{names})")
     return f"(?<=[MN]){LIST_NUMBER}({'|'.join(options)})(?=[MN])"
 
 

@@ -135,3 +135,33 @@ def test_a_mark_ends_a_sentence_and_part_of_one_is_none(documents):
     ]
     got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(documents(rows)).collect()}
     assert got == {1: [], 2: [], 3: ["mit-notice"], 4: ["mit-notice"] * 2, 5: ["apache-notice", "mit-name", "cc-by"]}
+
+
+def test_short_names_and_more_families(documents):
+    rows = [
+        (1, "// SPDX-License-Identifier: Apache-2.0\nint main;"),
+        (2, "/* SPDX-License-Identifier: GPL-2.0-only */"),
+        (3, "# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: MIT-0"),
+        (4, "SPDX-License-Identifier: MIT-1"),
+        (5, "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+            "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."),
+        (6, "    GNU AFFERO GENERAL PUBLIC LICENSE\n    Version 3, 19 November 2007\n"),
+        (7, "        GNU GENERAL PUBLIC LICENSE\n           Version 2, June 1991\n"),
+        (8, "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable\n"
+            "for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any "
+            "purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n"),
+        (9, "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)"),
+        (10, "                Apache License\n          Version 2.0, January 2004\n       http://www.apache.org/licenses/"),
+        (11, "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ]
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan(documents(rows)).collect()}
+    assert found == {
+        1: ["Apache-2.0"], 2: ["GPL-2.0-only"], 3: ["MIT", "MIT-0"], 4: [], 5: ["LGPL-2.1-or-later"], 6: ["AGPL-3.0-only"],
+        7: ["GPL-2.0-only"], 8: ["Zlib"], 9: ["BSL-1.0"], 10: ["Apache-2.0"], 11: ["CC-BY-NC-SA-4.0"],
+    }
+
+
+def test_every_sentence_has_a_rule_of_its_own():
+    used = {i for _, ids in licenses.RULES + licenses.MORE_RULES for i in ids}
+    assert set(licenses.SENTENCES) <= used | {"zlib-as-is", "mpl-copy"}
+    assert len(licenses.all_sentences()) >= 100
