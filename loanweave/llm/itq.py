@@ -35,6 +35,7 @@ from .common import components, saved
 COSINE = 0.9
 RECALL = 0.97  # of pairs exactly at the threshold, under independent bits
 SAMPLE = 4096  # vectors that the rotations are learnt from
+MEASURED = 2048  # of them, for the centre and for collisions of vectors that are not linked
 ROUNDS = 8
 CHECK_BITS = 64
 SHORTEST, LONGEST = 4, 30  # bits of a substring
@@ -115,15 +116,22 @@ def collisions(bits: np.ndarray, width: int) -> float:
     return float(np.mean(shares))
 
 
+def unlike(sample: np.ndarray, cosine: float) -> np.ndarray:
+    """The first rows of a sample without those that are linked to an earlier one."""
+    some = sample[:MEASURED]
+    return some[~np.triu(some @ some.T >= cosine, 1).any(axis=0)]
+
+
 def learn(sample: np.ndarray, rows: int, cosine: float = COSINE, recall: float = RECALL, seed: int = SEED) -> Coder:
     """From unit vectors, for a table of so many ``rows`` of their length."""
-    centre = sample.mean(axis=0)
+    apart = unlike(sample, cosine)  # groups of copies neither move the centre nor count as collisions
+    centre = apart.mean(axis=0)
     v = sample - centre
     _, directions = np.linalg.eigh(v.T @ v)
     v = v @ directions
     turn = turn_at(cosine, float(np.median((v**2).sum(axis=1))))
     # The shortest substring with few neighbours per bucket, as long as the tables that it needs are not too many.
-    trial = v @ rotations(v, TRIAL_BITS, seed) >= 0
+    trial = (apart - centre) @ directions @ rotations(v, TRIAL_BITS, seed) >= 0
     width = SHORTEST
     while width < LONGEST and tables_for(width + 1, turn, recall) <= MOST_TABLES and collisions(trial, width) * rows > NEIGHBOURS:
         width += 1
