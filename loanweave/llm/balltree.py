@@ -1,10 +1,13 @@
 """Exact top-k inner products by ball-tree branch and bound, shard by shard.
 
-Components become ``floor(256 x)``, so scores are integers and ties are exact. Candidates are dealt over shards by the
-hash of their id; each shard is a ball tree. A query visits the nodes of a shard in the order of their upper bound,
-``q . centre + |q| radius``, and stops at the first that cannot reach its current k-th score. Every query first searches
-one shard, its home; the k-th score found there is shared with the search of all other shards, which so begin with a
-bound and mostly stop early. Queries meet shards in blocks, so a task holds one shard and one block.
+Components become ``floor(256 x)``, so scores are integers and ties are exact. Candidates are dealt over cells of space, each
+to the nearest of a bounded number of sampled pivots; a cell with many rows is split into several shards by hash. Each shard
+becomes one ball tree, built once and written. A query visits the nodes of a tree in the order of their upper bound,
+``q . centre + |q| radius``, and stops at the first that cannot reach its current k-th score.
+
+The same bound orders the cells, by pivot and radius. Every query first searches its best cell; the k-th score found there is
+shared with the next few, and the improved one with the rest, each only if its bound reaches the score. In every round the
+queries stream through the trees: a task holds one tree and one batch of queries.
 
 Edge cases: a vector that is null or has a null or non-finite component takes no part, as query or candidate, and
 neither does a row with a null ``vec_id``; vectors of another length than the query are not its candidates; repeated
@@ -15,9 +18,13 @@ table gives an empty result; further columns are ignored. Scores beyond 64 bits
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +34,22 @@ K = 5
 SCALE = 256
 LEAF = 64
 SHARD_ROWS = 8192
-BLOCK_ROWS = 2048
+PIVOTS = 2048  # cells, at most
+ROUNDS = (1, 5)  # cells that have been searched after the first and second round
+BATCH = 1024  # queries at once
+SLACK = 1e-9  # rounding of a bound must not cut off a point that reaches it
+SEED = 3
 
 _LIMITS = np.iinfo(np.int64)
 
 
+def upper_bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The most that a query's inner product with a point of a ball can be, a row per query."""
+    norms = np.sqrt((queries**2).sum(axis=1))
+    size = norms[:, None] * (np.sqrt((centres**2).sum(axis=1)) + radii)
+    return queries @ centres.T + norms[:, None] * radii + SLACK * (1 + size)
+
+
 class BallTree:
     """Nodes as arrays: centre, radius, children (or -1), and the range of points below."""
 
@@ -61,14 +79,9 @@ class BallTree:
                 self.order[low:high] = self.order[low:high][np.argpartition(along, middle, kind="introselect")]
                 pending += [(low, low + middle, node, 0), (low + middle, high, node, 1)]
         self.centres, self.radii = np.array(self.centres), np.array(self.radii)
-        # Rounding of a bound must not cut off a point that reaches it.
-        self.slack = 1e-9
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        norms = np.sqrt((queries**2).sum(axis=1))
-        reach = queries @ self.centres.T + norms[:, None] * self.radii
-        size = norms[:, None] * (np.sqrt((self.centres**2).sum(axis=1)) + self.radii)
-        return reach + self.slack * (1 + size)
+        return upper_bounds(queries, self.centres, self.radii)
 
     def search(self, query, bounds, ids, own, k, floor, score):
         """The k best (score, -id) of the points, none below ``floor``."""
@@ -112,68 +125,184 @@ def takes_part(vector: Column) -> Column:
 
 
 FOUND = "uid bigint, query_id bigint, vec_id bigint, score bigint"
+KEY = ["d", "cell", "salt"]
+
+
+class Shard:
+    """The tree of some candidates, all of one length."""
 
+    def __init__(self, ids: np.ndarray, points: np.ndarray):
+        self.ids, self.points, self.tree = ids, points, BallTree(points)
+        self.far = np.abs(points).max(initial=0)
 
-def _search(asked: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataFrame:
-    rows: list[tuple] = []
-    if len(asked) and len(shard):
-        ids = shard["vec_id"].to_numpy(np.int64)
-        points = np.stack([np.asarray(v, np.float64) for v in shard["vector"]])
-        queries = np.stack([np.asarray(v, np.float64) for v in asked["vector"]])
-        tree = BallTree(points)
-        bounds = tree.bounds(queries)
-        exact = points.shape[1] * np.abs(points).max(initial=0) * np.abs(queries).max(initial=0) < 2**53
-        whole = None if exact else np.array([[int(x) for x in p] for p in points], object)
+    def best(self, query: np.ndarray, bounds: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
+        exact = len(query) * self.far * np.abs(query).max(initial=0) < 2**53
+        asked = query if exact else np.array([int(x) for x in query], object)
 
-        def score(at, query):
+        def score(at, _):
             if exact:
-                return points[at] @ query
-            values = whole[at] @ np.array([int(x) for x in query], object)
-            return np.array([min(max(v, _LIMITS.min), _LIMITS.max) for v in values], np.int64)
+                return self.points[at] @ query
+            whole = np.array([[int(x) for x in p] for p in self.points[at]], object).reshape(len(at), len(query))
+            return np.array([min(max(v, _LIMITS.min), _LIMITS.max) for v in whole @ asked], np.int64)
+
+        return self.tree.search(query, bounds, self.ids, own, k, floor, score)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivots of one length, with the radius of the cell around each (negative for an empty one)."""
+
+    pivots: np.ndarray
+    radii: np.ndarray
+
+    def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each point, and its distance from the pivot."""
+        cell = ((self.pivots**2).sum(axis=1) - 2 * points @ self.pivots.T).argmin(axis=1)
+        return cell, np.sqrt(((points - self.pivots[cell]) ** 2).sum(axis=1))
+
+    def ordered(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells by falling bound, and their bounds; empty ones have none."""
+        bounds = np.where(self.radii >= 0, upper_bounds(queries, self.pivots, np.maximum(self.radii, 0)), -np.inf)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        return order, np.take_along_axis(bounds, order, axis=1)
+
+
+def _matrix(vectors: pa.ListArray, low: int, high: int, d: int) -> np.ndarray:
+    starts = np.asarray(vectors.offsets)
+    return np.asarray(vectors.values, np.float64)[starts[low] : starts[high]].reshape(high - low, d)
+
+
+def _dealt(rows: DataFrame, cells: dict[int, Cells]) -> DataFrame:
+    """Rows with their ``cell`` and ``apart``, the distance from its pivot. Lengths without a pivot have one cell at 0."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cell, apart = np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
+            for d, part in pdf.reset_index(drop=True).groupby("d"):
+                points = np.stack([np.asarray(v, np.float64) for v in part["vector"]]).reshape(len(part), d)
+                at = part.index.to_numpy()
+                cell[at], apart[at] = (cells[d] if d in cells else Cells(np.zeros((1, d)), np.zeros(1))).nearest(points)
+            yield pdf.assign(cell=cell, apart=apart)
+
+    held = ["vec_id", "vector", "asks", "d", "uid"]
+    schema = "vec_id bigint, vector array<double>, asks boolean, d int, uid bigint, cell int, apart double"
+    return rows.select(*held).mapInPandas(deal, schema)
 
-        floors = asked["floor"].tolist()
-        for i, (uid, own) in enumerate(zip(asked["uid"].tolist(), asked["query_id"].tolist())):
-            floor = None if floors[i] is None or pd.isna(floors[i]) else int(floors[i])
-            best = tree.search(queries[i], bounds[i], ids, own, k, floor, score)
-            rows += [(uid, own, -minus, value) for value, minus in best]
-    return pd.DataFrame(rows, columns=["uid", "query_id", "vec_id", "score"]).astype("int64")
 
+def _trees(dealt: DataFrame) -> DataFrame:
+    """A row per shard with its tree."""
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS):
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = np.stack([np.asarray(v, np.float64) for v in pdf["vector"]]).reshape(len(pdf), int(pdf["d"].iloc[0]))
+        shard = Shard(pdf["vec_id"].to_numpy(np.int64), points)
+        return pdf[KEY][:1].assign(tree=[pickle.dumps(shard, protocol=5)])
+
+    return dealt.select(*KEY, "vec_id", "vector").groupBy(*KEY).applyInPandas(build, "d int, cell int, salt int, tree binary")
+
+
+def _routed(queries: DataFrame, cells: dict[int, Cells], first: int, last: int | None) -> DataFrame:
+    """(d, cell, uid, query_id, vector, floor) of the cells from the ``first`` to before the ``last`` in a query's order whose
+    bound reaches its floor."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, floors = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            at, to = [], []
+            for i, d in enumerate(lengths):
+                known = cells.get(d)
+                if known is None:
+                    at, to = at + [i] * (first == 0), to + [0] * (first == 0)
+                    continue
+                order, bounds = known.ordered(_matrix(batch.column(3), i, i + 1, d))
+                reach = bounds[0, first:last] >= (-np.inf if floors[i] is None else floors[i])
+                reach &= bounds[0, first:last] > -np.inf
+                here = order[0, first:last][reach].tolist()
+                at, to = at + [i] * len(here), to + here
+            out = batch.take(pa.array(at, pa.int64()))
+            columns = [out.column(2), pa.array(to, pa.int32()), out.column(0), out.column(1), out.column(3), out.column(4)]
+            yield pa.RecordBatch.from_arrays(columns, ["d", "cell", "uid", "query_id", "vector", "floor"])
+
+    asked = queries.select("uid", "query_id", "d", "vector", "floor")
+    return asked.mapInArrow(route, "d int, cell int, uid bigint, query_id bigint, vector array<double>, floor bigint")
+
+
+def _searched(routed: DataFrame, trees: DataFrame, salts: DataFrame, k: int, parts: int) -> DataFrame:
+    """The k best of each shard for the queries sent there.
+
+    A partition is sorted so that a shard's tree comes before the queries that stream through it.
+    """
+    nothing = {"uid": "bigint", "query_id": "bigint", "vector": "array<double>", "floor": "bigint"}
+    held = trees.select(*KEY, F.lit(False).alias("asks"), "tree", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+    asked = routed.join(salts, ["d", "cell"]).withColumn("salt", each)
+    asked = asked.select(*KEY, F.lit(True).alias("asks"), F.lit(None).cast("binary").alias("tree"), *nothing)
+    dealt = held.unionByName(asked).repartition(parts, *KEY).sortWithinPartitions(*KEY, "asks")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for low, high in zip([0, *cuts], [*cuts, len(keys)]):
+                if not keys[low][3]:
+                    key, shard = keys[low][:3], pickle.loads(batch.column(4)[low].as_py())
+                    continue
+                if key != keys[low][:3]:
+                    continue  # a shard without candidates
+                found: list[tuple[int, int, int, int]] = []
+                for start in range(low, high, BATCH):
+                    stop = min(start + BATCH, high)
+                    queries = _matrix(batch.column(7), start, stop, key[0])
+                    bounds = shard.tree.bounds(queries)
+                    uids, owns, floors = (batch.column(i).slice(start, stop - start).to_pylist() for i in (5, 6, 8))
+                    for uid, own, floor, query, bound in zip(uids, owns, floors, queries, bounds):
+                        found += [(uid, own, -minus, value) for value, minus in shard.best(query, bound, own, k, floor)]
+                columns = list(zip(*found)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["uid", "query_id", "vec_id", "score"])
+
+    return dealt.mapInArrow(stream, FOUND)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, shard_rows: int = SHARD_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row that ``is_query`` marks, ties to the smaller id."""
     usable = vectors.filter(F.col("vec_id").isNotNull() & takes_part(F.col("embedding")))
     rows = usable.select(
-        F.col("vec_id").cast("bigint"), quantised(F.col("embedding")).alias("vector"), is_query.alias("asks")
-    )
-    # The numbers are fixed by writing them.
-    rows = saved(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("d", F.size("vector")), "points")
-    total, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asking // block_rows))
-    home = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    candidates = rows.select("vec_id", "vector", "d", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
-    queries = rows.filter("asks").select(
-        "uid", F.col("vec_id").alias("query_id"), F.col("vector").alias("vector"), F.col("d").alias("d"), home.alias("home"),
-        F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"),
+        F.col("vec_id").cast("bigint"), quantised(F.col("embedding")).alias("vector"), is_query.alias("asks"),
+        F.size("embedding").alias("d"),
     )
+    # The numbers are fixed by writing them.
+    rows = saved(rows.withColumn("uid", F.monotonically_increasing_id()), "points")
+    wanted = max(1, min(pivots, -(-rows.count() // shard_rows)))
+    drawn = rows.orderBy(F.xxhash64("uid", F.lit(SEED))).limit(wanted).select("d", "vector").collect()
+    picked: dict[int, list] = {}
+    for r in drawn:
+        picked.setdefault(r["d"], []).append(r["vector"])
+    start = {d: Cells(np.array(v, np.float64).reshape(len(v), d), np.zeros(len(v))) for d, v in picked.items()}
+
+    dealt = saved(_dealt(rows, start), "points-in-cells")
+    # A row per cell, of which there are no more than pivots and lengths without one.
+    sizes = saved(dealt.groupBy("d", "cell").agg(F.count("*").alias("n"), F.max("apart").alias("radius")), "cells")
+    salts = sizes.select("d", "cell", F.ceil(F.col("n") / shard_rows).cast("int").alias("salts"))
+    radii = {d: np.full(len(c.pivots), -1.0) for d, c in start.items()}
+    for r in sizes.filter(F.col("d").isin(list(radii))).collect():
+        radii[r["d"]][r["cell"]] = r["radius"] * (1 + SLACK) + SLACK
+    cells = {d: Cells(c.pivots, radii[d]) for d, c in start.items()}
+
+    salted = dealt.join(salts, ["d", "cell"]).withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int"))
+    trees = saved(_trees(salted), "trees")
+    parts = max(trees.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    queries = dealt.filter("asks").select("uid", F.col("vec_id").alias("query_id"), "vector", "d")
 
-    def searched(asked: DataFrame) -> DataFrame:
-        key = ["d", "shard", "block"]
-        met = candidates.withColumn("block", every(blocks)).groupBy(*key)
-        return asked.groupBy(*key).cogroup(met).applyInPandas(lambda a, b: _search(a, b, k), FOUND)
-
-    first = saved(searched(queries.withColumns({"shard": F.col("home"), "floor": F.lit(None).cast("bigint")})), "home-scores")
-    full = first.groupBy("uid").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
-    rest = (
-        queries.join(full.select("uid", F.col("least").alias("floor")), "uid", "left")
-        .withColumn("shard", every(shards))
-        .filter("shard <> home")
-    )
     best = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
-    return (
-        first.unionByName(searched(rest))
-        .withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    found = None
+    for first, last in zip((0, *ROUNDS), (*ROUNDS, None)):
+        if found is None:
+            asked = queries.withColumn("floor", F.lit(None).cast("bigint"))
+        else:
+            full = found.groupBy("uid").agg(F.count("*").alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k)
+            asked = queries.join(full.select("uid", "floor"), "uid", "left")
+        more = _searched(_routed(asked, cells, first, last), trees, salts, k, parts)
+        together = more if found is None else found.unionByName(more)
+        ranked = together.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        found = saved(ranked.select("uid", "query_id", "vec_id", "score"), "best-so-far")
+    return found.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")

@@ -118,7 +118,7 @@ def test_tables_follow_the_angle_at_the_centre():
     assert tables_for(12, turn_at(0.9, 1.0)) < tables_for(12, turn_at(0.9, 0.5)) < tables_for(12, turn_at(0.9, 0.2))
 
 
-@pytest.mark.parametrize("shard_rows", [8192, 100])
+@pytest.mark.parametrize("shard_rows", [8192, 100, 20])
 def test_top_k_equals_brute_force(spark, shard_rows):
     rows = groups(5, 700, 16) + [(1000 + i, [0.25] * 16) for i in range(60)]
     x = np.floor(np.array([v for _, v in rows], np.float32).astype(np.float64) * 256).astype(np.int64)
@@ -128,7 +128,7 @@ def test_top_k_equals_brute_force(spark, shard_rows):
         if i % 50 == 0:
             scores = sorted((-int(s), j) for j, s in zip(ids, x @ x[q]) if j != i)[:5]
             expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)]
-    got = top_k(make(spark, rows), F.col("vec_id") % 50 == 0, shard_rows=shard_rows, block_rows=5)
+    got = top_k(make(spark, rows), F.col("vec_id") % 50 == 0, shard_rows=shard_rows)
     assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
 
 
