@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key_bucket
@@ -213,13 +213,23 @@ def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(found, KEY, "left").select(KEY, LABEL, F.coalesce(apart <= 1e-12, F.lit(False)).alias("walks_alike"))
 
 
-@query()
+@query("SELECT CAST(t.range AS INT) AS tree, CAST(1 AS BIGINT) AS n_roots, TRUE AS levels_follow FROM range(20) t")
 def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes, splits and rows per tree and level of the fitted forest."""
+    """Per tree of the fitted forest: each level has two nodes per split of the level above, and the rows of these splits."""
     nodes = written(saved_nodes(forest_model(spark, sf_dir).stages[-1]), "nodes")
-    return levels(nodes).join(nodes, ["tree", "node"]).groupBy("tree", "level").agg(
-        F.count("*").alias("n_nodes"), F.count("left").alias("n_splits"), F.sum("n").alias("n_rows")
+    by_level = levels(nodes).join(nodes, ["tree", "node"]).groupBy("tree", "level").agg(
+        F.count("*").alias("n_nodes"),
+        F.count("left").alias("n_splits"),
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("left").isNotNull(), F.col("n"))), F.lit(0)).alias("split_rows"),
     )
+    below = Window.partitionBy("tree").orderBy("level")  # a row per level
+    follows = (2 * F.col("n_splits") == F.coalesce(F.lead("n_nodes").over(below), F.lit(0))) & (
+        F.col("split_rows") == F.coalesce(F.lead("n_rows").over(below), F.lit(0))
+    )
+    checked = by_level.withColumn("follows", follows)
+    root = F.sum(F.when(F.col("level") == 0, F.col("n_nodes")))
+    return checked.groupBy("tree").agg(root.alias("n_roots"), F.every("follows").alias("levels_follow"))
 
 
 _STAGE_KINDS = ("ImputerModel", "StringIndexerModel", "OneHotEncoderModel", "VectorAssembler", "StandardScalerModel", "RandomForestClassificationModel")

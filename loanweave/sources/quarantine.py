@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import token_to_null
+from ..schema import APPLICATION_SCHEMA
+from .files import typed
 
 TOO_FEW = "too_few_fields"
 TOO_MANY = "too_many_fields"
@@ -84,6 +86,13 @@ def quarantine(spark: SparkSession, path: str, sep: str = ",") -> Quarantined:
     return Quarantined(rows_of(lines, columns, sep), lines.filter(F.col("reason").isNotNull()), lines)
 
 
+def read_checked(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType = APPLICATION_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """(applications under their declared types, broken lines). What a plain read would pad or cut off is among the latter;
+    a value that does not convert is null among the former, and a matter of validation."""
+    found = quarantine(spark, path, sep)
+    return typed(found.good, schema), found.rejects
+
+
 def rows_of(lines: DataFrame, columns: list[str], sep: str = ",") -> DataFrame:
     """The good ones of ``lines`` as rows of text, missing markers as null."""
     fields = F.from_csv("line", _ddl(columns), {"sep": sep, "escape": '"'})

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loanweave.sources.quarantine import OPEN_QUOTE, TOO_FEW, TOO_MANY, quarantine
+from loanweave.sources.quarantine import OPEN_QUOTE, TOO_FEW, TOO_MANY, quarantine, read_checked
 
 HEADER = "application_id,person_income,loan_intent,loan_amnt"
 
@@ -33,6 +33,14 @@ def test_good_and_rejects_are_all_lines(spark, tmp_path):
     assert found.lines.count() == len(good) + len(rejects)
 
 
+def test_applications_from_a_broken_file(spark, tmp_path):
+    put(tmp_path, "a.csv", "1,100.5,MEDICAL,5", "2,abc,VENTURE,6", "3,1", "4,NA,,7e2")
+    loans, broken = read_checked(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in loans.collect()) == [(1, 100.5, "MEDICAL", 5.0), (2, None, "VENTURE", 6.0), (4, None, None, 700.0)]
+    assert dict(loans.dtypes) == {"application_id": "bigint", "person_income": "double", "loan_intent": "string", "loan_amnt": "double"}
+    assert [r["line"] for r in broken.collect()] == ["3,1"]
+
+
 def test_other_separator(spark, tmp_path):
     (tmp_path / "x.csv").write_text('a;b\n1;2\n1;2;3\n"x;y";2\n')
     found = quarantine(spark, str(tmp_path), sep=";")
