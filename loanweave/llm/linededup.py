@@ -291,17 +291,17 @@ class LineIndex:
         """Documents with ``kept`` (the lines that stay, joined), ``n_lines`` and ``n_dropped``."""
         drops = self.drops(held if held is not None else postings(docs, self.min_length))
         # The input is one struct, so that no name of it can clash.
-        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("at"), F.col("text").alias("text"))
+        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("at"))
         found = rows.join(drops.select(F.col("doc_id").alias("of"), "keys").hint("shuffle_hash"), F.col("at") == F.col("of"), "left")
-        loses = F.col("keys").isNotNull()
-        cut = _without(F.when(loses, F.col("text")), F.col("keys"))
+        loses, text = F.col("keys").isNotNull(), F.col("row")["text"]
+        cut = _without(F.when(loses, text), F.col("keys"))
         added = {
-            "kept": F.when(loses, F.col("cut.kept")).otherwise(F.coalesce("text", F.lit(""))),
-            "n_lines": F.size(lines(F.col("text"))).cast("bigint"),
+            "kept": F.when(loses, F.col("cut.kept")).otherwise(F.coalesce(text, F.lit(""))),
+            "n_lines": F.size(lines(text)).cast("bigint"),
             "n_dropped": F.when(loses, F.col("cut.n_dropped")).otherwise(0).cast("bigint"),
         }
         kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in added]
-        return found.select("row", "text", "keys", cut.alias("cut")).select(*kept, *[v.alias(k) for k, v in added.items()])
+        return found.select("row", "keys", cut.alias("cut")).select(*kept, *[v.alias(k) for k, v in added.items()])
 
 
 def plain_key(line: str) -> bytes:
