@@ -24,6 +24,8 @@ from .sampling import (
     with_key,
     with_stratified_split,
 )
+from .sketches import merge_profiles, profile_parts, store_profiles, stored_profiles
+from .trees import forest_probabilities, grow, walk
 from .validation import (
     check_columns,
     is_compatible,
@@ -36,8 +38,8 @@ from .validation import (
 __all__ = [
     "FilterSpec", "apply_filters", "auc", "auc_by_group", "auc_evaluator", "bounds", "box_stats", "check_columns", "confusion",
     "counts", "default_rate", "describe_numeric", "describe_text", "distinct_values", "drop_outliers", "exact_quantiles",
-    "first_rows", "histogram", "is_compatible", "is_train", "join_truth", "label_frame", "level_counts",
-    "nonnumeric_counts", "portfolio_kpis", "predicate", "regression_metrics", "sample_n", "schema_report", "split",
-    "stratified_split", "summary_quartiles", "unknown_categories", "validate", "with_folds", "with_key",
-    "with_stratified_split",
+    "first_rows", "forest_probabilities", "grow", "histogram", "is_compatible", "is_train", "join_truth", "label_frame", "level_counts",
+    "merge_profiles", "nonnumeric_counts", "portfolio_kpis", "predicate", "profile_parts", "regression_metrics", "sample_n", "schema_report", "split",
+    "store_profiles", "stored_profiles", "stratified_split", "summary_quartiles", "unknown_categories", "validate", "walk",
+    "with_folds", "with_key", "with_stratified_split",
 ]

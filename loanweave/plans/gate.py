@@ -63,12 +63,8 @@ def answered(model: PipelineModel, df: DataFrame, policy: BandPolicy = ALERT_POL
     flagged = df.withColumn("_good", is_scorable(df, labels))
     good = F.col("_good")
     shown: dict[str, Column] = {c: F.when(good, F.col(c)).otherwise(F.lit(labels[c][0])) for c in CATEGORICAL if c in labels}
-    numbers = prepare(df.select("*"))
-    for c in NUMERIC:
-        if c in NOT_A_FEATURE:
-            continue
-        kind = numbers.schema[c].dataType
-        shown[c] = F.when(good, F.col(c)).otherwise(F.lit(0).cast(kind))
+    kinds = prepare(df).schema
+    shown |= {c: F.when(good, F.col(c)).otherwise(F.lit(0).cast(kinds[c].dataType)) for c in NUMERIC if c not in NOT_A_FEATURE}
     kept = [F.col(c).alias(f"_in_{c}") for c in df.columns]
     inputs = prepare(flagged.select(*kept, *df.columns, "_good")).withColumns(shown)
     predicted = model.transform(inputs)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,33 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "loanwe
     )
 
 
+# Folders made in each scope that is open, the innermost last.
+_open_scopes: list[list[str]] = []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables made inside, once what is built on them is written.
+
+    What is to stay must be written to a path taken before. A table that reads an intermediate and is not yet written when
+    the scope ends cannot be read any more.
+    """
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        for path in made:
+            removed(spark, path)
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A fresh path every executor can reach.
 
@@ -34,10 +63,16 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     shared = spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     name = f"loanweave-{purpose}-{uuid.uuid4().hex}"
     if shared:
-        return f"{shared.rstrip('/')}/{name}"
+        return _listed(f"{shared.rstrip('/')}/{name}")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    return f"{tempfile.mkdtemp(prefix='loanweave-')}/{name}"
+    return _listed(f"{tempfile.mkdtemp(prefix='loanweave-')}/{name}")
+
+
+def _listed(path: str) -> str:
+    if _open_scopes:
+        _open_scopes[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
