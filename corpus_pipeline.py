@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loanweave.llm import langid, linededup, mixing, neardup, packing
 from loanweave.llm.common import read, saved
+from loanweave.session import removed, scratch_path, scratch_scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5  # a language that is less likely than not is no language
@@ -72,7 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages on ``documents``. A stage's intermediate tables, and the documents that it read, go when its result is
+    written; the last result is lazy and keeps what it reads."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch_scope(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.schema(result.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
