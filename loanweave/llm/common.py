@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_row(columns: Sequence[str]) -> Column:
+    """Input columns of any name as one struct, beside which an operator's own names cannot clash."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in columns])
+
+
 def fold(doc_id: Column) -> Column:
     """Remainder 0..3 of the CRC-32 of the id's decimal text; null for a null id."""
     return (F.crc32(doc_id.cast("string")) % 4).cast("int")

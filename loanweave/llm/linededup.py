@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, saved
+from .common import as_row, buckets_for, saved
 
 MIN_DOCS = 3
 MIN_LENGTH = 20
@@ -291,7 +291,7 @@ class LineIndex:
         """Documents with ``kept`` (the lines that stay, joined), ``n_lines`` and ``n_dropped``."""
         drops = self.drops(held if held is not None else postings(docs, self.min_length))
         # The input is one struct, so that no name of it can clash.
-        rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("at"))
+        rows = docs.select(as_row(docs.columns).alias("row"), F.col("doc_id").alias("at"))
         found = rows.join(drops.select(F.col("doc_id").alias("of"), "keys").hint("shuffle_hash"), F.col("at") == F.col("of"), "left")
         loses, text = F.col("keys").isNotNull(), F.col("row")["text"]
         cut = _without(F.when(loses, text), F.col("keys"))

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, word_count
+from .common import as_row, saved, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -95,7 +95,7 @@ def _rows(docs: DataFrame, kept: Sequence[str]) -> DataFrame:
     """What the mix works on: the kept columns in one struct, so that their names cannot clash, and columns of its own."""
     doc_id, text, source = F.col("doc_id"), F.col("text"), F.col("source")
     return docs.select(
-        F.struct(*kept).alias("row") if kept else F.lit(None).cast("struct<none: int>").alias("row"),
+        as_row(kept).alias("row") if kept else F.lit(None).cast("struct<none: int>").alias("row"),
         doc_id.alias("doc_id"),
         source.alias("source"),
         F.coalesce(F.concat(F.lit("s"), source), F.lit("null")).alias("name"),  # never null, for plain joins
@@ -108,9 +108,11 @@ def _rows(docs: DataFrame, kept: Sequence[str]) -> DataFrame:
 
 
 def _twins(docs: DataFrame) -> list[Column]:
-    """128 bits that are the same for equal rows only."""
-    absent = F.array(*[F.col(f"`{c}`").isNull() for c in docs.columns])
-    return [F.xxhash64(F.lit(seed), absent, *[F.col(f"`{c}`") for c in docs.columns]).alias(f"twin{seed}") for seed in (1, 2)]
+    """128 bits that are the same for rows that are equal, but for columns that have no hash, only."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    hashed = [as_row([c])[c] for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+    absent = F.array(*[c.isNull() for c in hashed])
+    return [F.xxhash64(F.lit(seed), absent, *hashed).alias(f"twin{seed}") for seed in (1, 2)]
 
 
 def _digits(n: int) -> int:

@@ -108,8 +108,8 @@ def test_odd_and_empty_tables(odd_documents, documents):
 
 
 def test_clashing_names(documents):
-    extra = ("keys", "of", "at", "row", "cut", "key", "line", "shard", "part", "filter", "n_docs", "last_doc", "_doc", "enters")
-    df = documents(ROWS).selectExpr("*", *[f"'{c}' AS {c}" for c in extra], "7 AS kept", "8 AS n_lines")
+    extra = ("keys", "of", "at", "row", "cut", "key", "line", "shard", "part", "filter", "n_docs", "last_doc", "_doc", "a.b")
+    df = documents(ROWS).selectExpr("*", *[f"'{c}' AS `{c}`" for c in extra], "7 AS kept", "8 AS n_lines")
     found = dedup_lines(df)
     assert got(found) == brute(ROWS)
     assert all(found.filter(f"`{c}` <> '{c}' or `{c}` is null").isEmpty() for c in extra)

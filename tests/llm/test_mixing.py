@@ -52,8 +52,8 @@ def test_odd_rows(odd_documents):
 def test_clashing_names(documents):
     rows = [(i, "w " * (i % 7 + 1), None, "ab"[i % 2]) for i in range(40)]
     extra = ("place", "before", "key", "name", "run", "row", "words", "stretch", "range", "goes", "wide", "turn", "given", "is_text",
-             "twin1", "uid", "earlier", "inside", "text_hash", "weight", "limit", "level", "_row", "_name", "_key")
-    df = documents(rows).selectExpr("*", *[f"'{c}' AS {c}" for c in extra], "'mine' AS target", "'mine' AS source_size", "'mine' AS use")
+             "twin1", "uid", "earlier", "inside", "text_hash", "weight", "limit", "level", "a.b", "_row", "_name", "_key")
+    df = documents(rows).selectExpr("*", *[f"'{c}' AS `{c}`" for c in extra], "'mine' AS target", "'mine' AS source_size", "'mine' AS use", "map(doc_id, 1) AS m")
     plain, clashing = mix(documents(rows)), mix(df)
     columns = ["doc_id", "size", "source_size", "target", "taken", "uses", "first_position"]
     show = lambda d, c: sorted(map(tuple, d.select(*c).collect()))
