@@ -6,6 +6,9 @@ error gives an interval around each wanted rank. A second pass keeps single valu
 folds each stretch between them to one row (count, smallest, largest, total), already on the map side. The intervals are
 cut into equal parts; a running count over the parts, of which a group has a fixed number, says which of them hold a
 wanted rank, and only the values of such a part are ranked, each part by itself.
+
+The sketches are written before the second pass. Then the planner knows their size: those of few groups are broadcast,
+and no row of the table is shuffled to meet them, where a sort-merge join sorts all rows of a group in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 ACCURACY = 50_000  # rank error of a sketch: at most rows / ACCURACY
 PARTS = 1024  # of each interval
 
@@ -26,8 +31,7 @@ def _edges(probs: Sequence[float], accuracy: int) -> list[float]:
 
 
 def _attach(rows: DataFrame, keys: list[str], small: DataFrame) -> DataFrame:
-    """Join a table with one row per key to each row. AQE may broadcast it, or split an oversized key of the left side;
-    null is a key like any other."""
+    """Join a table with one row per key to each row; null is a key like any other."""
     named = small.withColumnsRenamed({c: f"_{c}" for c in keys})
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
     return rows.join(named, same).drop(*[f"_{c}" for c in keys])
@@ -66,7 +70,7 @@ def exact_quantiles(
     stretch = reduce(lambda a, b: a + b, [(v > e).cast("int") for e in edges])
     place = [*by, "stretch", "part"]
     folded = (
-        _attach(rows, by, sketch)
+        _attach(rows, by, written(sketch, "sketch"))
         .select(
             *by,
             "v",

@@ -62,3 +62,26 @@ def test_box_statistics_by_hand(spark):
     row = box_stats(df, ["x"]).first()
     assert (row["q1"], row["median"], row["q3"]) == (2.25, 3.5, 4.75)
     assert (row["n"], row["whisker_low"], row["whisker_high"], row["n_outliers"]) == (6, 1.0, 5.0, 1)
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Only what is known to be small is broadcast, as beside large tables."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    yield
+    spark.conf.set(name, before)
+
+
+def plan_of(df, capsys) -> str:
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_rows_of_a_large_group_are_not_sent_to_one_task(spark, small_broadcasts, capsys):
+    df = spark.range(100_000).selectExpr("IF(id < 0, 'b', 'a') AS g", "CAST(id AS DOUBLE) AS v")
+    got = exact_quantiles(df, "v", ["g"], [0.5])
+    assert "BroadcastHashJoin" in plan_of(got, capsys)
+    assert got.first()["q"] == [49_999.5]
