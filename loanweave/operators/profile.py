@@ -128,7 +128,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 def box_stats(df: DataFrame, columns: Sequence[str], by: str = LABEL) -> DataFrame:
     """Box-plot statistics of each column per value of ``by``: quartiles, whiskers at 1.5 IQR and outliers.
 
-    The columns are written once for the passes over them.
+    The columns are written once for the passes over them; the boxes too, so that the planner knows how few they are and
+    sends them to the rows.
     """
     narrow = written(df.select(*dict.fromkeys([by, *columns])), "box")
     long = melt(narrow, columns, keep=[by]).filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -138,7 +139,7 @@ def box_stats(df: DataFrame, columns: Sequence[str], by: str = LABEL) -> DataFra
     box = F.struct(
         q1.alias("q1"), median.alias("median"), q3.alias("q3"), (q1 - fence).alias("lo"), (q3 + fence).alias("hi")
     )
-    boxes = quartiles.select(F.col(by).alias("_by"), F.col("feature").alias("_feature"), box.alias("box"))
+    boxes = written(quartiles.select(F.col(by).alias("_by"), F.col("feature").alias("_feature"), box.alias("box")), "boxes")
     value, within = F.col("value"), F.col("value").between(F.col("box.lo"), F.col("box.hi"))
     return (
         long.join(boxes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("feature") == F.col("_feature")))

@@ -85,3 +85,11 @@ def test_rows_of_a_large_group_are_not_sent_to_one_task(spark, small_broadcasts,
     got = exact_quantiles(df, "v", ["g"], [0.5])
     assert "BroadcastHashJoin" in plan_of(got, capsys)
     assert got.first()["q"] == [49_999.5]
+
+
+def test_boxes_are_sent_to_the_rows(spark, small_broadcasts, capsys):
+    df = spark.range(100_000).selectExpr("CAST(id % 2 AS INT) AS loan_status", "CAST(hash(id) AS DOUBLE) AS x")
+    got = box_stats(df, ["x"])
+    plan = plan_of(got, capsys)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sum(r["n"] for r in got.collect()) == 100_000
