@@ -16,7 +16,8 @@ from loanweave.plans.features import (
 )
 from loanweave.plans.model_queries import MULTIPLE, held_out_part
 from loanweave.plans.training import coefficients, fit_linear, load, save, train
-from loanweave.plans.tuning import cross_validate, grid, param_maps, tune
+from loanweave.plans.features import forest
+from loanweave.plans.tuning import areas, cross_validate, grid, keeps_node_ids, param_maps, search_partitions, training_rows, tune
 from loanweave.schema import KEY, LABEL
 
 from .conftest import SF
@@ -126,3 +127,33 @@ def test_tree_text(model):
 def test_stage_order():
     kinds = [type(s).__name__ for s in feature_stages()]
     assert kinds == ["Imputer", "StringIndexer", "OneHotEncoder", "VectorAssembler", "StandardScaler"]
+
+
+def test_a_search_keeps_few_rows_in_few_partitions(spark, loans):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64")
+    try:
+        with training_rows(loans, 5) as (rows, n_rows):
+            assert rows.rdd.getNumPartitions() == 8
+            assert n_rows == rows.count() == loans.count()
+    finally:
+        spark.conf.set(name, before)
+    assert [search_partitions(n, 200) for n in (0, 1_000_000, 10**9)] == [8, 20, 200]
+    assert search_partitions(1_000_000, 4) == 4
+
+
+def test_models_are_scored_side_by_side(loans, capsys):
+    rows = build_pipeline().fit(loans).transform(loans).select("features_scaler", LABEL).cache()
+    models = [forest(ForestParams(2, 1 + i, "gini")).setCacheNodeIds(bool(i)).fit(rows) for i in range(3)]
+    assert areas(models, rows) == pytest.approx({i: auc(m.transform(rows)) for i, m in enumerate(models)}, abs=1e-12)
+    assert areas(models, rows.filter(F.col(LABEL) == 1)) == {0: 0.0, 1: 0.0, 2: 0.0}
+    rows.unpersist()
+
+
+def test_kept_node_ids_do_not_change_a_forest(loans):
+    rows = build_pipeline().fit(loans).transform(loans).select("features_scaler", LABEL).cache()
+    kept, walked = (forest(ForestParams(5, 10, "entropy")).setCacheNodeIds(c).fit(rows).toDebugString for c in (True, False))
+    assert kept.split("\n", 1)[1] == walked.split("\n", 1)[1]
+    assert keeps_node_ids(95_863, 100) and not keeps_node_ids(7_200_000, 100)
+    rows.unpersist()
